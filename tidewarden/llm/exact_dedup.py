@@ -1,7 +1,7 @@
 """Operator 1, exact dedup, in DataFrame functions only.
 
-A mergeable Misra-Gries summary of all digests (``approx_top_k``) names at most WINNERS frequent
-ones. Their true counts and survivors are then counted exactly, that table is broadcast (WINNERS
+Misra-Gries summaries of all digests (Spark's ``approx_top_k`` sketches, one for each of 64 parts of
+the rows) name at most WINNERS frequent ones. Their true counts and survivors are then counted exactly, that table is broadcast (WINNERS
 rows at most) and settles their rows on the map side. The remaining digests, none of which can hold
 more than a small share of the rows, go through one ordinary shuffle.
 """
@@ -32,9 +32,10 @@ def exact_dedup(docs: DataFrame, winners: int = WINNERS, tracked: int = TRACKED)
     )
     key = F.xxhash64("digest")
     summary = rows.select(key.alias("key"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).groupBy("part").agg(F.expr(f"approx_top_k_accumulate(key, {tracked})").alias("s"))
-    found = summary.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {winners})").alias("top"), F.lit(1)).select("top").first()
+    # a digest that is frequent overall is frequent in one of the parts; the sums only rank candidates
+    found = summary.select(F.explode(F.expr(f"approx_top_k_estimate(s, {winners})")).alias("x")).groupBy("x.item").agg(F.sum("x.count").alias("count"))
     total = rows.count()
-    frequent = [x["item"] for x in (found["top"] or []) if x["count"] > max(1, total // (2 * winners))] if total else []
+    frequent = [x["item"] for x in found.where(F.col("count") > max(1, total // (2 * winners))).orderBy(F.desc("count"), "item").limit(winners).collect()]
     best = F.max(F.struct(F.col("doc_id"), F.col("row_no")))
     columns = [F.col("doc_id"), F.col("best.doc_id").alias("keep_id"), F.col("group_size"), (F.col("best.row_no") == F.col("row_no")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
     rest = rows
