@@ -37,9 +37,9 @@ PERCENT = 75
 SKETCH_BITS = 2048
 #: Most shingles that are taken as frequent, and so broadcast (8 bytes each).
 FREQUENT = 200_000
-META = "doc_id long, node long, n long, keys long, often binary"
-META_ARROW = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.int64()), ("often", pa.binary())])
-SETS = "node long, n long, sketch array<long>, members array<long>"
+META = "doc_id long, node long, n long, keys long, sketch array<long>, often binary"
+META_ARROW = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.int64()), ("sketch", pa.list_(pa.int64())), ("often", pa.binary())])
+SETS = "node long, members array<long>"
 
 
 def shingles(text: str, ids: WordIds, k: int = WORDS) -> np.ndarray:
@@ -74,13 +74,17 @@ def block_keys(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         else:
             count = (1 << k) * (4 if k < 8 else 1)
             block = h % np.uint64(count)
-            order = np.argsort(block, kind="stable")
+            # numpy sorts 16-bit numbers by radix
+            order = np.argsort(block.astype(np.uint16) if count <= 65536 else block, kind="stable")
             block = block[order]
             start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
             value = np.bitwise_xor.reduceat(mix(h + np.uint64(1))[order], start)
             usual = np.logical_and.reduceat(often[order], start)
             block = block[start]
-        first = np.lexsort((block, usual))[:most]
+        if k < 5:
+            first = np.lexsort((block, usual))[:most]
+        else:
+            first = np.concatenate((np.flatnonzero(~usual), np.flatnonzero(usual)))[:most]
         out.append(mix(value[first] ^ mix(block[first] + seed)))
     return np.concatenate(out)
 
@@ -105,7 +109,7 @@ def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.searchsorted(every, often, "right") - np.searchsorted(every, often)
             blob = [b"".join((often.tobytes(), counts.astype(np.uint64).tobytes()))] + [None] * (len(part) - 1)
             yield pa.RecordBatch.from_arrays(
-                [docs[a : a + 2000], pa.array(node, pa.int64()), pa.array([len(m) for m in part], pa.int64()), pa.array([sum(x for _, x in bands(len(m))) if len(m) else 0 for m in part], pa.int64()), pa.array(blob, pa.binary())],
+                [docs[a : a + 2000], pa.array(node, pa.int64()), pa.array([len(m) for m in part], pa.int64()), pa.array([sum(x for _, x in bands(len(m))) if len(m) else 0 for m in part], pa.int64()), pa.array([sketch(m) if len(m) else None for m in part], pa.list_(pa.int64())), pa.array(blob, pa.binary())],
                 schema=META_ARROW,
             )
 
@@ -150,8 +154,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = batch.column(0)[a : a + 500].to_pylist()
             part = [m for m, x in zip(part, node, strict=True) if len(m) and node_of(m) == x]  # a repeated doc_id may bring another text
             yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(m) for m in part], pa.int64()), pa.array([len(m) for m in part], pa.int64()), pa.array([sketch(m) for m in part], pa.list_(pa.int64())), pa.array([signed(m) for m in part], pa.list_(pa.int64()))],
-                names=["node", "n", "sketch", "members"],
+                [pa.array([node_of(m) for m in part], pa.int64()), pa.array([signed(m) for m in part], pa.list_(pa.int64()))], names=["node", "members"]
             )
 
 
@@ -159,18 +162,18 @@ def hamming(a: str, b: str):
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
 
-def verifier(texts: DataFrame, first_doc: DataFrame, percent: int = PERCENT):
-    """A ``verify`` for keyjoin.linked over the sets of ``texts``."""
+def verifier(texts: DataFrame, nodes: DataFrame, percent: int = PERCENT):
+    """A ``verify`` for keyjoin.linked; nodes: node, doc_id of a text that has it, n, sketch."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        need = written(need.join(first_doc, "node"), "need")
-        docs = texts.join(small(need.withColumnRenamed("doc_id", "first_id")), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
-        sets = written(docs.mapInArrow(_sets, SETS), "sets")
-        short = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"k{s}"))
+        short = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"k{s}"))
         near = pairs.join(short("a"), "a").join(short("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         near = near.where(hamming("ka", "kb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+        near = written(near, "near")
+        need = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+        need = written(need.join(nodes.select("node", F.col("doc_id").alias("first_id")), "node"), "need")
+        docs = texts.join(small(need), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
+        sets = written(docs.mapInArrow(_sets, SETS), "sets")
         full = lambda s: sets.select(F.col("node").alias(s), F.col("members").alias(f"m{s}"))
         both = near.join(full("a"), "a").join(full("b"), "b").select("a", "b", F.size("ma").alias("na"), F.size("mb").alias("nb"), F.size(F.array_intersect("ma", "mb")).alias("i"))
         return both.where(f"100L * i >= {percent}L * (na + nb - i)").select("a", "b").distinct()
@@ -190,16 +193,16 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = doc_text(docs)
     meta = written(texts.mapInArrow(_meta, META), "meta")
     facts = meta.agg(F.count("*").alias("docs"), F.sum("keys").alias("keys")).first()
-    first_doc = written(meta.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "first")
+    firsts = written(meta.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x")).select("node", "x.*"), "nodes")
     shared = spark.sparkContext.broadcast(frequent_members(meta, facts["docs"]))
     buckets = 8 * max(parts(spark), -(-(facts["keys"] or 0) // 4_000_000))
     pairs = texts.select("text").mapInArrow(_keyed(shared, buckets), keyjoin.PACKED)
-    _, found = keyjoin.linked(keyjoin.groups(pairs, buckets), verifier(texts, first_doc, percent))
+    _, found = keyjoin.linked(keyjoin.groups(pairs, buckets), verifier(texts, firsts, percent))
     # the smallest doc_id of each component
-    named = first_doc.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = firsts.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     nodes = named.join(least, "root").select("node", "component_id")
-    out = meta.where("node is not null").join(nodes, "node").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = meta.where("node is not null").select("doc_id", "node", "n").join(nodes, "node").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     alone = meta.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 

@@ -5,8 +5,11 @@ travel packed: one row holds a bucket's share of a batch as two binary columns,
 are not a billion JVM rows. A bucket's pairs are sorted by key in numpy and groups come out.
 
 Hot keys: where one batch alone holds HOT or more nodes of a key, that part of the group goes to a
-bucket of its own with the key unchanged, and only its smallest node goes to the key's bucket too;
-so no bucket receives a hot group whole, and the chains of smallest nodes still join the parts.
+bucket of its own, and only its smallest node goes to the key's bucket too; so no bucket receives a
+hot group whole, and the chains of smallest nodes still join the parts.
+
+Within a bucket 32 more bits of a key are kept; buckets grow in number with the keys, so the share of
+pairs that meet by chance stays as small. Those only cost a verification.
 
 Links are found in two exact steps. First each node is verified against its group's smallest node
 (a star, never all pairs) and components are taken. Then, for the groups that still span several
@@ -27,9 +30,9 @@ from .common import connected_components, mix, parts, written
 
 HOT = 64
 FLUSH = 1_000_000
-PACKED = "bucket int, keys binary, nodes binary"
+PACKED = "bucket int, home int, keys binary, nodes binary"
 GROUPS = "key long, node long, pivot long"
-PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())])
+PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())])
 GROUPS_ARROW = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("pivot", pa.int64())])
 
 
@@ -43,14 +46,15 @@ def packed(keys: np.ndarray, nodes: np.ndarray, buckets: int, salt: int) -> pa.R
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.append(start, len(keys)))
     hot = np.repeat(size >= HOT, size)
-    where = mix(keys ^ np.where(hot, np.uint64(salt), np.uint64(0)))
     first = start[size >= HOT]  # the smallest node of each hot part goes to the key's own bucket too
-    keys, nodes, where = np.concatenate((keys, keys[first])), np.concatenate((nodes, nodes[first])), np.concatenate((where, mix(keys[first])))
-    bucket = (where % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket, keys, nodes = bucket[order], keys[order], nodes[order]
-    cut = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket))
-    rows = [(int(bucket[a]), keys[a:b].tobytes(), nodes[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    keys, nodes, hot = np.concatenate((keys, keys[first])), np.concatenate((nodes, nodes[first])), np.concatenate((hot, np.zeros(len(first), bool)))
+    home = mix(keys) % np.uint64(buckets)
+    order = np.lexsort((hot, home))
+    keys, nodes, home, hot = keys[order], nodes[order], home[order], hot[order]
+    bucket = np.where(hot, mix(home ^ np.uint64(salt)) % np.uint64(buckets), home)
+    cut = np.append(np.flatnonzero(np.concatenate(([True], (home[1:] != home[:-1]) | (hot[1:] != hot[:-1])))), len(keys))
+    keys = (keys >> np.uint64(32)).astype(np.uint32)
+    rows = [(int(bucket[a]), int(home[a]), keys[a:b].tobytes(), nodes[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PACKED_ARROW.types, strict=True)], schema=PACKED_ARROW)
 
 
@@ -69,15 +73,14 @@ def pack_stream(pairs: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int, sa
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, tuple[list[bytes], list[bytes]]] = {}
+    held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
     for batch in batches:
-        for bucket, keys, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            k, n = held.setdefault(bucket, ([], []))
-            k.append(keys)
-            n.append(nodes)
-    for bucket in list(held):
-        k, n = held.pop(bucket)
-        keys, nodes = np.frombuffer(b"".join(k), np.uint64), np.frombuffer(b"".join(n), np.int64)
+        for _, home, keys, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held[0].append(np.frombuffer(keys, np.uint32) | np.uint64(home << 32))
+            held[1].append(np.frombuffer(nodes, np.int64))
+    if held[0]:
+        keys, nodes = (np.concatenate(x) for x in held)
+        held = ([], [])
         order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
         keep = np.ones(len(keys), bool)
