@@ -7,6 +7,7 @@ import importlib
 QUERIES = {
     "op1_exact_dedup": "exact_dedup",
     "op3_jaccard_join": "jaccard_join",
+    "op4_packing": "packing",
 }
 
 
