@@ -6,6 +6,7 @@ driver can read them after any executor is lost.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,8 +17,6 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows that is ever broadcast; every use has a shuffle join beyond it.
 BROADCAST_ROWS = 400_000
-#: Entries of a worker's word cache before it starts afresh.
-CACHE_WORDS = 300_000
 
 _tables: list[str] = []
 
@@ -67,20 +66,6 @@ def doc_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-class WordIds(dict):
-    """bytes of a word -> its 64-bit hash; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def word_hashes(words: list[bytes], ids: WordIds) -> np.ndarray:
-    return np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the well-known murmur3 constants)."""
     h = h ^ (h >> np.uint64(33))
@@ -90,17 +75,101 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; the whole sequence as one if it is shorter."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    size = min(k, n)
-    h = np.full(n - size + 1, size, np.uint64)
+#: Bytes hashed at a time.
+BUFFER = 1 << 20
+_POWERS = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(BUFFER, 0x9E3779B97F4A7C15, np.uint64))))
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
+_VALUES[65:91] = _VALUES[97:123]  # A-Z as a-z
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_GAP = re.compile(rb"[ \t-\r]")
+
+
+def _hash_buffer(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words: a polynomial over random byte values from one running sum."""
+    raw = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[raw], [True])).astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_VALUES[raw] * _POWERS[: len(raw)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _POWERS[BUFFER - starts]), starts
+
+
+def _hash_long(data: bytes) -> np.ndarray:
+    out, at = [], 0
+    while at < len(data):
+        end = at + BUFFER
+        if end < len(data):
+            back = max(data.rfind(bytes([c]), at, end) for c in (32, *range(9, 14)))
+            if back <= at:  # a single word fills the buffer
+                gap = _GAP.search(data, at + 1)
+                end = gap.start() if gap else len(data)
+                if not _BLANK[data[at]]:
+                    out.append(np.array([xxhash.xxh3_64_intdigest(data[at:end].lower())], np.uint64))
+                    at = end
+                    continue
+                end = at + 1
+            else:
+                end = back
+        out.append(_hash_buffer(data[at:end])[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's begin (one more at the end).
+
+    Words are runs of other than space and \\t-\\r; A-Z count as a-z.
+    """
+    hashes: list[np.ndarray] = []
+    counts = np.zeros(len(texts) + 1, np.int64)
+    held: list[bytes] = []
+    first = size = 0
+
+    def flush(upto: int) -> None:
+        found, starts = _hash_buffer(b" ".join(held))
+        bounds = np.cumsum([0, *(len(x) + 1 for x in held)])
+        counts[first + 1 : upto + 1] = np.diff(np.searchsorted(starts, bounds))
+        hashes.append(found)
+
+    for i, text in enumerate(texts):
+        data = text.encode("utf-8", "surrogatepass")
+        if held and size + len(data) + 1 > BUFFER:
+            flush(i)
+            held, size = [], 0
+        if not held:
+            first = i
+        if len(data) >= BUFFER:
+            long = _hash_long(data)
+            hashes.append(long)
+            counts[i + 1] = len(long)
+        else:
+            held.append(data)
+            size += len(data) + 1
+    if held:
+        flush(len(texts))
+    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.cumsum(counts)
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
+
+
+def _combined(hashes: np.ndarray, size: int) -> np.ndarray:
+    n = len(hashes) - size + 1
+    h = np.full(n, size, np.uint64)
     for j in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[j : n - size + 1 + j]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[j : n + j]
         h ^= h >> np.uint64(29)
-    return np.unique(mix(h))
+    return mix(h)
+
+
+def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
+    """Each text's sorted distinct hashes of k-word shingles; of the whole sequence if it is shorter."""
+    hashes, at = hashed_words(texts)
+    every = _combined(hashes, k) if len(hashes) >= k else hashes
+    return [distinct(every[a : b - k + 1]) if b - a >= k else _combined(hashes[a:b], b - a) if b > a else hashes[:0] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def signed(a: np.ndarray) -> np.ndarray:
@@ -131,3 +200,33 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = now
     roots = state.select(F.col("v").alias("node")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+
+
+CACHE_WORDS = 300_000
+
+
+class WordIds(dict):
+    """bytes of a word -> its 64-bit hash; bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def word_hashes(words: list[bytes], ids: WordIds) -> np.ndarray:
+    return np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles; the whole sequence as one if it is shorter."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    size = min(k, n)
+    h = np.full(n - size + 1, size, np.uint64)
+    for j in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[j : n - size + 1 + j]
+        h ^= h >> np.uint64(29)
+    return np.unique(mix(h))

@@ -8,6 +8,9 @@ QUERIES = {
     "op1_exact_dedup": "exact_dedup",
     "op3_jaccard_join": "jaccard_join",
     "op4_packing": "packing",
+    "op5_license_scan": "license_scan",
+    "op7_brown_lm": "brown_lm",
+    "op9_toxicity": "toxicity",
 }
 
 
