@@ -16,7 +16,6 @@ per-task counts by a running sum. Tokens are cut freely; each id lies in exactly
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,18 +30,11 @@ from .common import doc_text, documents, small, written
 
 WINDOW = 2048
 END = 1
-#: Words in each of the two generations of a worker's cache.
-CACHE = 250_000
+#: Words that a worker keeps the ids of.
+CACHE = 400_000
 DEPTH_LENGTHS = 96
-#: White space other than single spaces or newlines between non-spaces: such texts are encoded whole.
-#: So are those where a full stop or comma before white space follows anything but a letter or digit.
-WHOLE = re.compile(r"^\s|\s$|[ \n][ \n]|[^\S \n]|\0|^$|(?:^|[\W_])[.,][ \n]")
-
-
-def cut_words(text: str) -> list[str]:
-    """text in parts at borders of pre-tokens."""
-    text = text.replace(", ", "\0, ").replace(". ", "\0. ").replace(",\n", "\0,\n").replace(".\n", "\0.\n")
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+#: Documents encoded together.
+BATCH = 800
 TOKENS = "chunk int, row long, doc_id long, n long, left int, rank long, fulls long, ids binary"
 TOKENS_ARROW = pa.schema([("chunk", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("left", pa.int32()), ("rank", pa.int64()), ("fulls", pa.int64()), ("ids", pa.binary())])
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -60,7 +52,8 @@ class Encoder:
 
     Byte-level BPE never merges across a pre-token border, and there is one before each single space
     that stands between non-spaces and around each such newline. Texts are cut there, and each
-    distinct word is encoded once. Texts with other white space or special tokens go through whole.
+    distinct word is encoded once, or once a batch if it came after the cache was full. Texts with other white space, unprintable
+    characters or special tokens go through whole.
     """
 
     def __init__(self, path: str):
@@ -71,24 +64,46 @@ class Encoder:
         self.code = "H" if self.model.get_vocab_size() <= 65536 else "I"
         self.kind = np.dtype(self.code).newbyteorder("<")
         self.special = tuple(x.content for x in self.model.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        newline = self.plain(["\n"])[0]
+        #: the id of a newline, if it is one token
+        self.newline = int(np.frombuffer(newline, self.kind)[0]) if len(newline) == self.kind.itemsize else 0
+        self.known: dict[str, bytes] = {"\n": newline}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without newlines, by one call: a newline between two words is a token of its own."""
+        if not self.newline or not words:
+            return self.plain(words)
+        data = array(self.code, self.model.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids)
+        ids, size = np.frombuffer(data, self.kind), self.kind.itemsize
+        at = (np.flatnonzero(ids == self.newline) * size).tolist()
+        if len(at) != len(words) - 1:
+            return self.plain(words)
+        whole = data.tobytes()
+        return [whole[a:b] for a, b in zip([0, *(x + size for x in at)], [*at, len(whole)], strict=True)]
+
+    def cut(self, text: str) -> list[str] | None:
+        """text in parts at borders of pre-tokens; None if it has to be encoded whole."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text.replace("\n", "").isprintable():
+            return None
+        if any(x in text for x in self.special):
+            return None
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if WHOLE.search(t) or any(x in t for x in self.special) else cut_words(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         words = set().union(*(x for x in cut if x))
         new = words.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known, self.older, new = {}, self.known, words
-        again = new.intersection(self.older)
-        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        new = list(new.difference(again))
-        self.known.update(zip(new, self.plain(new), strict=True))
+        new = list(new)
+        self.known.update(zip(new, self.words(new), strict=True))
         whole = iter(self.plain([t for t, x in zip(texts, cut, strict=True) if x is None]))
-        return [next(whole) if x is None else b"".join(map(self.known.__getitem__, x)) for x in cut]
+        out = [next(whole) if x is None else b"".join(map(self.known.__getitem__, x)) for x in cut]
+        if len(self.known) > CACHE:  # full: frequent words are in by now, later ones leave again
+            for word in new:
+                del self.known[word]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -107,8 +122,8 @@ def _tokens(path: str, window: int):
         seen = np.zeros(window, np.int64)
         end = np.array([END], encoder.kind).tobytes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 250):
-                ids = [x + end for x in encoder.encode(batch.column(1)[a : a + 250].to_pylist())]
+            for a in range(0, batch.num_rows, BATCH):
+                ids = [x + end for x in encoder.encode(batch.column(1)[a : a + BATCH].to_pylist())]
                 n = np.array([len(x) // encoder.kind.itemsize for x in ids], np.int64)
                 left, rank, before = n % window, np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
                 for i, length in enumerate(left):
@@ -117,7 +132,7 @@ def _tokens(path: str, window: int):
                     before[i] = fulls
                     fulls += n[i] // window
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), chunk, np.int32)), pa.array(np.arange(row, row + len(n))), batch.column(0)[a : a + 250], pa.array(n), pa.array(left.astype(np.int32)), pa.array(rank), pa.array(before), pa.array(ids, pa.binary())],
+                    [pa.array(np.full(len(n), chunk, np.int32)), pa.array(np.arange(row, row + len(n))), batch.column(0)[a : a + BATCH], pa.array(n), pa.array(left.astype(np.int32)), pa.array(rank), pa.array(before), pa.array(ids, pa.binary())],
                     schema=TOKENS_ARROW,
                 )
                 row += len(n)
