@@ -9,6 +9,7 @@ QUERIES = {
     "op3_jaccard_join": "jaccard_join",
     "op4_packing": "packing",
     "op5_license_scan": "license_scan",
+    "op6_decontaminate": "decontaminate",
     "op7_brown_lm": "brown_lm",
     "op9_toxicity": "toxicity",
 }
