@@ -12,6 +12,7 @@ QUERIES = {
     "op6_decontaminate": "decontaminate",
     "op7_brown_lm": "brown_lm",
     "op9_toxicity": "toxicity",
+    "op10_html_extract": "html_extract",
 }
 
 
