@@ -11,6 +11,7 @@ QUERIES = {
     "op5_license_scan": "license_scan",
     "op6_decontaminate": "decontaminate",
     "op7_brown_lm": "brown_lm",
+    "op8_pii": "pii",
     "op9_toxicity": "toxicity",
     "op10_html_extract": "html_extract",
 }
