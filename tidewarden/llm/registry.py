@@ -6,6 +6,7 @@ import importlib
 
 QUERIES = {
     "op1_exact_dedup": "exact_dedup",
+    "op2_line_dedup": "line_dedup",
     "op3_jaccard_join": "jaccard_join",
     "op4_packing": "packing",
     "op5_license_scan": "license_scan",

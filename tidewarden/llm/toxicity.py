@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import doc_text, documents
 
@@ -236,3 +237,25 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _append(shared, schema: pa.Schema, fields: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                x = np.array([features("" if t is None else t, shared.value, cache) for t in part.column(fields).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:fields], pa.array(probability(x, shared.value))], schema=schema)
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that aren't predicted toxic, with all their columns; nulls as in score."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
+    out = docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(_append(shared, to_arrow_schema(schema), len(docs.columns)), schema)
+    return out.where(F.col("__score") < threshold).drop("__score")
