@@ -200,33 +200,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = now
     roots = state.select(F.col("v").alias("node")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
-
-
-CACHE_WORDS = 300_000
-
-
-class WordIds(dict):
-    """bytes of a word -> its 64-bit hash; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def word_hashes(words: list[bytes], ids: WordIds) -> np.ndarray:
-    return np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; the whole sequence as one if it is shorter."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    size = min(k, n)
-    h = np.full(n - size + 1, size, np.uint64)
-    for j in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[j : n - size + 1 + j]
-        h ^= h >> np.uint64(29)
-    return np.unique(mix(h))

@@ -13,8 +13,8 @@ symmetric difference by d <= (a + b) / 7.
   their blocks in one global order and key the first d + 1, they share a key. The order puts blocks
   made of frequent shingles only last, so passages that many documents share seldom become keys.
   Which shingles count as frequent steers cost alone; links don't depend on it.
-* Verification: a short dense parity sketch (2048 bits, XOR and bit_count) first refutes pairs by
-  the same bound; the rest are intersected exactly.
+* Verification: a short dense parity sketch (4 to 8 bits a member; XOR and bit_count) first refutes
+  pairs by the same bound; the rest are intersected exactly.
 
 Sets of a few members are keyed member by member. From 32 members on a band has at least twice as
 many blocks as must be occupied; that a set occupies fewer than d + 1 has a chance below 1e-16.
@@ -26,15 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import keyjoin
-from .common import WordIds, doc_text, documents, mix, parts, shingle_hashes, signed, small, word_hashes, written
+from .common import distinct, doc_text, documents, mix, parts, shingle_sets, signed, small, written
 
 WORDS = 5
 PERCENT = 75
-SKETCH_BITS = 2048
 #: Most shingles that are taken as frequent, and so broadcast (8 bytes each).
 FREQUENT = 200_000
 META = "doc_id long, node long, n long, keys long, sketch array<long>, often binary"
@@ -42,10 +42,6 @@ META_ARROW = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.i
 SETS = "node long, members array<long>"
 
 
-def shingles(text: str, ids: WordIds, k: int = WORDS) -> np.ndarray:
-    return shingle_hashes(word_hashes(text.encode("utf-8", "surrogatepass").lower().split(), ids), k)
-
-
 def node_of(members: np.ndarray) -> np.int64:
     """The set's id: equal sets have one."""
     return mix(np.array([np.add.reduce(mix(members)) ^ np.uint64(len(members))]))[0].view(np.int64)
@@ -61,51 +57,47 @@ def bands(n: int) -> list[tuple[int, int]]:
 
 def block_keys(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The keys of a set in all its bands."""
-    often = np.zeros(len(members), bool)
+    often = np.zeros(len(members), np.uint64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
-        often = frequent[at] == members
+        often = (frequent[at] == members).astype(np.uint64)
     out = []
     for k, most in bands(len(members)):
         seed = np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        h = mix(members ^ seed)
+        # the top bits name the block, the lowest bit says whether the member is frequent
+        h = np.sort(mix(members ^ seed) & ~np.uint64(1) | often)
         if k < 5:
-            block, value, usual = h, h, often
+            value, usual = h, h & np.uint64(1)
         else:
-            count = (1 << k) * (4 if k < 8 else 1)
-            block = h % np.uint64(count)
-            # numpy sorts 16-bit numbers by radix
-            order = np.argsort(block.astype(np.uint16) if count <= 65536 else block, kind="stable")
-            block = block[order]
+            block = h >> np.uint64(64 - k - (2 if k < 8 else 0))
             start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            value = np.bitwise_xor.reduceat(mix(h + np.uint64(1))[order], start)
-            usual = np.logical_and.reduceat(often[order], start)
-            block = block[start]
-        if k < 5:
-            first = np.lexsort((block, usual))[:most]
-        else:
-            first = np.concatenate((np.flatnonzero(~usual), np.flatnonzero(usual)))[:most]
-        out.append(mix(value[first] ^ mix(block[first] + seed)))
+            value = np.bitwise_xor.reduceat(mix(h), start) + block[start]
+            usual = np.bitwise_and.reduceat(h, start) & np.uint64(1)
+        first = np.concatenate((np.flatnonzero(usual == 0), np.flatnonzero(usual)))[:most]
+        out.append(mix(value[first] ^ seed))
     return np.concatenate(out)
 
 
-def sketch(members: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Dense parity sketch: bit i is the parity of the members that hash to i."""
-    parity = (np.bincount((mix(members ^ np.uint64(77)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+def sketch(members: np.ndarray) -> np.ndarray:
+    """Dense parity sketch of 4 to 8 bits a member: bit i is the parity of the members that hash to i.
+
+    Its halves, one XORed onto the other, are the sketch of half the length.
+    """
+    bits = max(64, 4 << len(members).bit_length())
+    parity = (np.bincount((mix(members ^ np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(parity).view(np.int64)
 
 
 def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids = WordIds()
     for batch in batches:
         docs, texts = batch.column(0), batch.column(1)
         for a in range(0, len(docs), 2000):
-            part = [shingles(t.as_py(), ids) for t in texts[a : a + 2000]]
+            part = shingle_sets(texts[a : a + 2000].to_pylist(), WORDS)
             node = [int(node_of(m)) if len(m) else None for m in part]
             # shingles that this part of the corpus repeats, over distinct sets: frequent ones show up in most parts
             once = {x: m for x, m in zip(node, part, strict=True) if x is not None}
             every = np.sort(np.concatenate(list(once.values()))) if once else np.zeros(0, np.uint64)
-            often = np.unique(every[2:][every[2:] == every[:-2]])
+            often = distinct(every[2:][every[2:] == every[:-2]])
             counts = np.searchsorted(every, often, "right") - np.searchsorted(every, often)
             blob = [b"".join((often.tobytes(), counts.astype(np.uint64).tobytes()))] + [None] * (len(part) - 1)
             yield pa.RecordBatch.from_arrays(
@@ -130,16 +122,14 @@ def frequent_members(meta: DataFrame, docs: int) -> np.ndarray:
 
 def _keyed(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, frequent = WordIds(), shared.value
-        from pyspark import TaskContext
+        frequent = shared.value
 
         def pairs():
             for batch in batches:
-                for text in batch.column(0):
-                    members = shingles(text.as_py(), ids)
-                    if len(members):
-                        keys = block_keys(members, frequent)
-                        yield keys, np.full(len(keys), node_of(members))
+                for a in range(0, batch.num_rows, 1000):
+                    for members in shingle_sets(batch.column(0)[a : a + 1000].to_pylist(), WORDS):
+                        if len(members):
+                            yield block_keys(members, frequent), node_of(members)
 
         yield from keyjoin.pack_stream(pairs(), buckets, TaskContext.get().partitionId() + 1)
 
@@ -147,10 +137,9 @@ def _keyed(shared, buckets: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids = WordIds()
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
-            part = [shingles(t.as_py(), ids) for t in batch.column(1)[a : a + 500]]
+            part = shingle_sets(batch.column(1)[a : a + 500].to_pylist(), WORDS)
             node = batch.column(0)[a : a + 500].to_pylist()
             part = [m for m, x in zip(part, node, strict=True) if len(m) and node_of(m) == x]  # a repeated doc_id may bring another text
             yield pa.RecordBatch.from_arrays(
@@ -159,17 +148,28 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hamming(a: str, b: str):
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    """Of two sketches whose lengths differ by a factor of two at most."""
+    half = lambda x, y: f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
+    return F.expr(f"aggregate(zip_with({half(a, b)}, {half(b, a)}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+
+
+def bounds(nodes: DataFrame, percent: int = PERCENT):
+    """A ``sieve`` for keyjoin.linked: pairs that sizes and sketches don't refute."""
+
+    def sieve(pairs: DataFrame) -> DataFrame:
+        size = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"))
+        close = pairs.join(size("a"), "a").join(size("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        short = lambda s: nodes.select(F.col("node").alias(s), F.col("sketch").alias(f"k{s}"))
+        both = close.join(short("a"), "a").join(short("b"), "b")
+        return both.where(hamming("ka", "kb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+    return sieve
 
 
 def verifier(texts: DataFrame, nodes: DataFrame, percent: int = PERCENT):
     """A ``verify`` for keyjoin.linked; nodes: node, doc_id of a text that has it, n, sketch."""
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        short = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"k{s}"))
-        near = pairs.join(short("a"), "a").join(short("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        near = near.where(hamming("ka", "kb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
-        near = written(near, "near")
+    def verify(near: DataFrame) -> DataFrame:
         need = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
         need = written(need.join(nodes.select("node", F.col("doc_id").alias("first_id")), "node"), "need")
         docs = texts.join(small(need), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
@@ -197,7 +197,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = spark.sparkContext.broadcast(frequent_members(meta, facts["docs"]))
     buckets = 8 * max(parts(spark), -(-(facts["keys"] or 0) // 4_000_000))
     pairs = texts.select("text").mapInArrow(_keyed(shared, buckets), keyjoin.PACKED)
-    _, found = keyjoin.linked(keyjoin.groups(pairs, buckets), verifier(texts, firsts, percent))
+    _, found = keyjoin.linked(keyjoin.groups(pairs, buckets), verifier(texts, firsts, percent), bounds(firsts, percent))
     # the smallest doc_id of each component
     named = firsts.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

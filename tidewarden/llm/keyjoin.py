@@ -11,10 +11,11 @@ hot group whole, and the chains of smallest nodes still join the parts.
 Within a bucket 32 more bits of a key are kept; buckets grow in number with the keys, so the share of
 pairs that meet by chance stays as small. Those only cost a verification.
 
-Links are found in two exact steps. First each node is verified against its group's smallest node
-(a star, never all pairs) and components are taken. Then, for the groups that still span several
-components, the strays are verified against the group's other members. No pair that shares a key
-and lies in different components is left unverified.
+Links are found in rounds that are exact together. First each node is verified against one smallest
+node of its groups, then, where it still lies apart, against those of its other groups (stars, never
+all pairs). Last, for groups that still span several components, the nodes outside the main one are
+verified against the group's other members. No pair that shares a key and lies in different
+components is left unverified.
 """
 
 from __future__ import annotations
@@ -36,40 +37,61 @@ PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("keys",
 GROUPS_ARROW = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("pivot", pa.int64())])
 
 
+def _home(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A key's bucket; it follows the key's order, so sorted keys are sorted by bucket."""
+    return (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
 def packed(keys: np.ndarray, nodes: np.ndarray, buckets: int, salt: int) -> pa.RecordBatch:
-    """Distinct (key, node) pairs of one batch, dealt out to buckets."""
-    order = np.lexsort((nodes, keys))
+    """One batch's (key, node) pairs, dealt out to buckets."""
+    order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
-    keep = np.ones(len(keys), bool)
-    keep[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[keep], nodes[keep]
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.append(start, len(keys)))
-    hot = np.repeat(size >= HOT, size)
-    first = start[size >= HOT]  # the smallest node of each hot part goes to the key's own bucket too
-    keys, nodes, hot = np.concatenate((keys, keys[first])), np.concatenate((nodes, nodes[first])), np.concatenate((hot, np.zeros(len(first), bool)))
-    home = mix(keys) % np.uint64(buckets)
-    order = np.lexsort((hot, home))
-    keys, nodes, home, hot = keys[order], nodes[order], home[order], hot[order]
-    bucket = np.where(hot, mix(home ^ np.uint64(salt)) % np.uint64(buckets), home)
-    cut = np.append(np.flatnonzero(np.concatenate(([True], (home[1:] != home[:-1]) | (hot[1:] != hot[:-1])))), len(keys))
-    keys = (keys >> np.uint64(32)).astype(np.uint32)
-    rows = [(int(bucket[a]), int(home[a]), keys[a:b].tobytes(), nodes[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    rows = []
+
+    def deal(keys: np.ndarray, nodes: np.ndarray, hot: bool) -> None:
+        home = _home(keys, buckets)
+        bucket = mix(home ^ np.uint64(salt)) % np.uint64(buckets) if hot else home
+        cut = np.append(np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))), len(keys))
+        low = keys.astype(np.uint32)
+        rows.extend((int(bucket[a]), int(home[a]), low[a:b].tobytes(), nodes[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True))
+
+    if (size >= HOT).any():
+        hot = np.repeat(size >= HOT, size)
+        deal(keys[hot], nodes[hot], True)
+        # the smallest node of each hot part goes to the key's own bucket too
+        least = np.minimum.reduceat(nodes, start)
+        one = ~hot
+        one[start[size >= HOT]] = True
+        nodes = nodes.copy()
+        nodes[start[size >= HOT]] = least[size >= HOT]
+        keys, nodes = keys[one], nodes[one]
+    deal(keys, nodes, False)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PACKED_ARROW.types, strict=True)], schema=PACKED_ARROW)
 
 
-def pack_stream(pairs: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int, salt: int) -> Iterator[pa.RecordBatch]:
-    """Flush (keys, nodes) arrays as packed rows, FLUSH pairs at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def pack_stream(pairs: Iterator[tuple[np.ndarray, int]], buckets: int, salt: int) -> Iterator[pa.RecordBatch]:
+    """Pack the keys of (keys, node); a node that repeats within FLUSH pairs is taken once."""
+    held: list[np.ndarray] = []
+    seen: dict[int, int] = {}
     count = 0
-    for keys, nodes in pairs:
-        held.append((keys, nodes))
+
+    def out() -> pa.RecordBatch:
+        return packed(np.concatenate(held), np.repeat(np.fromiter(seen.keys(), np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen))), buckets, salt)
+
+    for keys, node in pairs:
+        if not len(keys) or node in seen:
+            continue
+        held.append(keys)
+        seen[int(node)] = len(keys)
         count += len(keys)
         if count >= FLUSH:
-            yield packed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]), buckets, salt := salt * 6364136223846793005 + 1442695040888963407 & (1 << 64) - 1)
-            held, count = [], 0
+            yield out()
+            salt = (salt * 6364136223846793005 + 1442695040888963407) & (1 << 63) - 1
+            held, seen, count = [], {}, 0
     if count:
-        yield packed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]), buckets, salt)
+        yield out()
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,11 +103,19 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held[0]:
         keys, nodes = (np.concatenate(x) for x in held)
         held = ([], [])
+        order = np.argsort(keys)
+        keys, nodes = keys[order], nodes[order]
+        # most keys are single; the rest get their distinct nodes sorted
+        same = keys[1:] == keys[:-1]
+        more = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        keys, nodes = keys[more], nodes[more]
         order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
         keep = np.ones(len(keys), bool)
         keep[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
         keys, nodes = keys[keep], nodes[keep]
+        if not len(keys):
+            return
         start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.append(start, len(keys)))
         # groups of the very same nodes under many keys: one of them is enough
@@ -106,27 +136,48 @@ def groups(pairs: DataFrame, buckets: int) -> DataFrame:
     return pairs.repartition(max(parts(pairs.sparkSession), buckets // 8), "bucket").mapInArrow(_groups, GROUPS)
 
 
-def linked(grouped: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def linked(grouped: DataFrame, verify: Callable[[DataFrame], DataFrame], sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> tuple[DataFrame, DataFrame]:
     """(links (a, b), components (node, root)) of the nodes that have links.
 
-    ``verify`` takes distinct candidate pairs (a < b) and returns those that hold.
+    ``verify`` takes distinct candidate pairs (a < b) and returns those that hold; ``sieve`` drops
+    pairs that can be refuted more cheaply.
     """
     grouped = written(grouped, "groups")
+    spark = grouped.sparkSession
+    found = spark.createDataFrame([], "node long, root long")
+    links = spark.createDataFrame([], "a long, b long")
     stars = grouped.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(verify(stars), "links")
-    found = written(connected_components(links), "components")
-    # a group's parts may lie in several buckets: its main component is that of its smallest pivot
-    at = grouped.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    main = at.groupBy("key").agg(F.min_by("root", "node").alias("main"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    at = written(at.join(main.select("key", "main"), "key"), "open")
-    strays = at.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    rest = strays.join(at.select("key", F.col("node").alias("b"), F.col("root").alias("rb")), "key").where("ra <> rb")
-    rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = written(verify(rest), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            # the first components stand for their links
-            found = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
-            found = written(found, "components")
+    done: list[DataFrame] = []
+
+    def open_pairs(pairs: DataFrame) -> DataFrame:
+        """Those not verified yet whose ends lie in different components."""
+        at = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        for verified in done:
+            pairs = pairs.join(verified, ["a", "b"], "left_anti")
+        return pairs
+
+    def strays() -> DataFrame:
+        """Nodes outside their group's main component, with the group's other members."""
+        at = grouped.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        main = at.groupBy("key").agg(F.min_by("root", "node").alias("main"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        at = written(at.join(main.select("key", "main"), "key"), "open")
+        odd = at.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
+        rest = odd.join(at.select("key", F.col("node").alias("b"), F.col("root").alias("rb")), "key").where("ra <> rb")
+        return rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    # each node's smallest pivot; then its other pivots, where it lies apart; then the strays
+    near = written(sieve(stars), "near")
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    for candidates in (lambda: first, lambda: near, lambda: sieve(written(open_pairs(strays()), "strays"))):
+        pairs = written(open_pairs(candidates()), "candidates")
+        done.append(pairs)
+        if pairs.isEmpty():
+            continue
+        more = written(verify(pairs), "links")
+        if more.isEmpty():
+            continue
+        links = links.unionByName(more)
+        # the components so far stand for the links so far
+        found = written(connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
     return links, found
