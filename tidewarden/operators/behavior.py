@@ -182,7 +182,8 @@ def isolation_scores(train: DataFrame, vectors: DataFrame, trees: int = 100, con
         return pd.DataFrame({"event_id": rows["event_id"], "entity_id": rows["entity_id"], "score": value, "is_anomalous": value > 0})
 
     keep = ["event_id", "entity_id", "features"]
-    return train.select(*keep).groupBy("entity_id").cogroup(vectors.select(*keep).groupBy("entity_id")).applyInPandas(run, "event_id string, entity_id string, score double, is_anomalous boolean")
+    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in keep))  # noqa: E731  both may come from one frame
+    return fresh(train).groupBy("entity_id").cogroup(fresh(vectors).groupBy("entity_id")).applyInPandas(run, "event_id string, entity_id string, score double, is_anomalous boolean")
 
 
 def run_fixture(labeled: DataFrame, training_count: int = 2, isolation: bool = True) -> dict:
