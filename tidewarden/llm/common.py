@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +63,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows that go to a Python worker at a time: whole texts, so a batch of many would be large.
+BATCH_ROWS = 2000
+
+
 def doc_text(docs: DataFrame) -> DataFrame:
-    """Only (doc_id, text), whatever other columns there are; a null text counts as empty."""
+    """Only (doc_id, text), whatever other columns there are; a null text counts as empty.
+
+    Also bounds the session's Arrow batches, unless they are smaller already.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
@@ -172,22 +184,62 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return [distinct(every[a : b - k + 1]) if b - a >= k else _combined(hashes[a:b], b - a) if b > a else hashes[:0] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """Dense parity sketch of 4 to 8 bits a member: bit i is the parity of the members that hash to i.
+
+    Its halves, one XORed onto the other, are the sketch of half the length.
+    """
+    bits = max(64, 4 << len(members).bit_length())
+    parity = (np.bincount((mix(members ^ np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(parity).view(np.int64)
+
+
 def signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: Edges that one task joins up by itself.
+LOCAL_EDGES = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over one task's edges: each node with the smallest node of its local component."""
+    root: dict[int, int] = {}
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for x in (u, v):
+                root.setdefault(x, x)
+            while root[u] != u:
+                root[u] = u = root[root[u]]
+            while root[v] != v:
+                root[v] = v = root[root[v]]
+            root[max(u, v)] = min(u, v)
+    found = []
+    for x in root:
+        r = x
+        while root[r] != r:
+            r = root[r]
+        if r != x:
+            found.append((x, r))
+    for a in range(0, len(found), 100_000):
+        u, v = zip(*found[a : a + 100_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def connected_components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """(a, b) links of long ids -> (node, root) with root the component's smallest node.
 
-    Alternating large-star and small-star steps; each is a grouped minimum (combined before the
-    shuffle) joined back, so that a node with very many links is never gathered in one task.
-    Nodes without links don't appear. Self links and nulls are ignored.
+    Distributed union-find: tasks of at most ``local`` edges join up what they hold, which leaves one
+    edge a node and task; then alternating large-star and small-star steps until nothing changes.
+    Each step is a grouped minimum (combined before the shuffle) joined back, so a node with very
+    many links is never gathered in one task. Edges that fit one task need no steps. Nodes without
+    links don't appear. Self links and nulls are ignored.
     """
-    state = written(
-        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
+    pairs = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    tasks = max(1, -(-pairs.count() // local))
+    state = written(pairs.coalesce(tasks).mapInArrow(_forest, "u long, v long"), "edges")
     mark = None
-    while True:
+    while tasks > 1:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

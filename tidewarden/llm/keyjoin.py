@@ -11,11 +11,10 @@ hot group whole, and the chains of smallest nodes still join the parts.
 Within a bucket 32 more bits of a key are kept; buckets grow in number with the keys, so the share of
 pairs that meet by chance stays as small. Those only cost a verification.
 
-Links are found in rounds that are exact together. First each node is verified against one smallest
-node of its groups, then, where it still lies apart, against those of its other groups (stars, never
-all pairs). Last, for groups that still span several components, the nodes outside the main one are
-verified against the group's other members. No pair that shares a key and lies in different
-components is left unverified.
+Links are found in rounds that are exact together. First each node is verified against the smallest
+nodes of its groups (stars, never all pairs). Then, for groups that still span several components,
+the nodes outside the main one are verified against the group's other members. No pair that shares
+a key and lies in different components is left unverified.
 """
 
 from __future__ import annotations
@@ -30,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, mix, parts, written
 
 HOT = 64
-FLUSH = 1_000_000
+FLUSH = 400_000
+#: Rows of a side of a block, when a large group is compared.
+BLOCK = 4096
 PACKED = "bucket int, home int, keys binary, nodes binary"
 GROUPS = "key long, node long, pivot long"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())])
@@ -136,11 +137,59 @@ def groups(pairs: DataFrame, buckets: int) -> DataFrame:
     return pairs.repartition(max(parts(pairs.sparkSession), buckets // 8), "bucket").mapInArrow(_groups, GROUPS)
 
 
-def linked(grouped: DataFrame, verify: Callable[[DataFrame], DataFrame], sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> tuple[DataFrame, DataFrame]:
+def _near(percent: int, best: bool):
+    """(a, b) of one block of a group that sizes and parity sketches don't refute: strays by members.
+
+    best: for each stray only the nearest member of another component.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, n = (table[c].to_numpy() for c in ("node", "root", "n"))
+        stray = np.array(table["stray"].to_pylist(), bool)
+        sketch = [np.array(x, np.int64).view(np.uint64) for x in table["sketch"].to_pylist()]
+        length = np.array([len(x) for x in sketch])
+        out = []
+        by = {m: np.flatnonzero(length == m) for m in np.unique(length)}
+        stacks = {m: np.stack([sketch[i] for i in rows]) for m, rows in by.items()}
+        for m, rows in by.items():
+            for other in (m // 2, m, 2 * m):
+                if other not in by:
+                    continue
+                left, right = stacks[m], stacks[other]
+                if other < m:  # halves of the longer sketch, one XORed onto the other
+                    left = left[:, :other] ^ left[:, other:]
+                elif other > m:
+                    right = right[:, :m] ^ right[:, m:]
+                left, rows_a = left[stray[rows]], rows[stray[rows]]
+                for i in range(0, len(rows_a), 32):
+                    a, b = rows_a[i : i + 32, None], by[other][None, :]
+                    ham = np.bitwise_count(left[i : i + 32, None, :] ^ right[None, :, :]).sum(2, dtype=np.int64)
+                    ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (ham * (100 + percent) <= (n[a] + n[b]) * (100 - percent))
+                    if best:
+                        only = np.where(ok, ham, 1 << 40)
+                        x = np.flatnonzero(only.min(1) < 1 << 40)
+                        y = only.argmin(1)[x]
+                    else:
+                        x, y = np.nonzero(ok)
+                    out.append(np.stack([node[rows_a[i + x]], node[by[other][y]]]))
+        pairs = np.unique(np.sort(np.concatenate(out, 1), 0), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return run
+
+
+def linked(
+    grouped: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    sketches: Callable[[DataFrame], DataFrame],
+    sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    percent: int = 75,
+) -> tuple[DataFrame, DataFrame]:
     """(links (a, b), components (node, root)) of the nodes that have links.
 
     ``verify`` takes distinct candidate pairs (a < b) and returns those that hold; ``sieve`` drops
-    pairs that can be refuted more cheaply.
+    pairs that can be refuted more cheaply; ``sketches`` takes nodes and returns (node, n, sketch),
+    sizes and parity sketches, by which large groups are compared in blocks without writing pairs.
     """
     grouped = written(grouped, "groups")
     spark = grouped.sparkSession
@@ -157,19 +206,29 @@ def linked(grouped: DataFrame, verify: Callable[[DataFrame], DataFrame], sieve:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
         return pairs
 
-    def strays() -> DataFrame:
+    def strays(best: bool) -> DataFrame:
         """Nodes outside their group's main component, with the group's other members."""
         at = grouped.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        main = at.groupBy("key").agg(F.min_by("root", "node").alias("main"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        at = written(at.join(main.select("key", "main"), "key"), "open")
-        odd = at.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-        rest = odd.join(at.select("key", F.col("node").alias("b"), F.col("root").alias("rb")), "key").where("ra <> rb")
-        return rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    # each node's smallest pivot; then its other pivots, where it lies apart; then the strays
-    near = written(sieve(stars), "near")
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    for candidates in (lambda: first, lambda: near, lambda: sieve(written(open_pairs(strays()), "strays"))):
+        main = at.groupBy("key").agg(F.min_by("root", "node").alias("main"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
+        at = written(at.join(main.select("key", "main", "size"), "key").withColumn("stray", F.expr("root <> main")), "open")
+        few = at.where(f"size < {HOT}")
+        rest = few.where("stray").select("key", F.col("node").alias("a"), F.col("root").alias("ra")).join(few.select("key", F.col("node").alias("b"), F.col("root").alias("rb")), "key").where("ra <> rb")
+        rest = sieve(written(open_pairs(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "strays"))
+        many = at.where(f"size >= {HOT}")
+        if many.isEmpty():
+            return rest
+        # large groups in blocks of BLOCK strays by BLOCK members: every row goes to each block of the other side
+        sides = many.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("mc"), F.ceil(F.count_if("stray") / BLOCK).cast("long").alias("sc"))
+        many = many.join(sides, "key").join(sketches(many.select("node").distinct()), "node")
+        h = F.xxhash64("node")
+        member = many.select("key", "node", "root", "n", "sketch", F.lit(False).alias("stray"), F.pmod(h, F.col("mc")).alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sc") - 1)).alias("s"))
+        stray = many.where("stray").select("key", "node", "root", "n", "sketch", F.lit(True).alias("stray"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mc") - 1)).alias("m"), F.pmod(h, F.col("sc")).alias("s"))
+        blocks = member.unionByName(stray).groupBy("key", "m", "s").applyInArrow(_near(percent, best), "a long, b long")
+        return rest.unionByName(blocks).distinct()
+
+    # each node against the smallest nodes of its groups; then the strays, in large groups by their
+    # nearest members first, so that few pairs are left for the last round
+    for candidates in (lambda: sieve(stars), lambda: strays(True), lambda: strays(False)):
         pairs = written(open_pairs(candidates()), "candidates")
         done.append(pairs)
         if pairs.isEmpty():

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import keyjoin
-from .common import distinct, doc_text, documents, mix, parts, signed, small, written
+from .common import distinct, doc_text, documents, mix, parts, sketch, small, written
 
 WORDS = 5
 SHINGLE = 8
@@ -121,30 +121,61 @@ def _keyed(buckets: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, members = [], []
+        found: list[tuple[int, bytes]] = []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             wanted = set(wanted)
             for _, line in eligible(text):
                 if (node := node_of(line)) in wanted:
                     wanted.remove(node)
-                    nodes.append(node)
-                    members.append(signed(distinct(shingles(line, np.zeros(1, np.int64))[0])))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(members, pa.list_(pa.int64()))], names=["node", "members"])
+                    found.append((node, line))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["node", "line"])
+
+
+def members(line: bytes) -> np.ndarray:
+    return distinct(shingles(line, np.zeros(1, np.int64))[0])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose lines' shingle sets have the similarity asked for."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = members(x), members(y)
+            n = len(x) + len(y)
+            h = np.sort(np.concatenate((x, y)))
+            same = int((h[1:] == h[:-1]).sum())
+            keep.append(100 * same >= PERCENT * (n - same))
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [members(x) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(m) for m in sets], pa.int64()), pa.array([sketch(m) for m in sets], pa.list_(pa.int64()))], names=["node", "n", "sketch"])
 
 
 def verifier(texts: DataFrame, firsts: DataFrame):
-    def verify(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    """``verify`` and ``sketches`` for keyjoin.linked, over the lines of texts; firsts: node, doc_id.
+
+    Lines travel as text, which is far shorter than their shingle sets.
+    """
+
+    def lines_of(need: DataFrame) -> DataFrame:
         need = written(need.join(firsts, "node").groupBy(F.col("doc_id").alias("first_id")).agg(F.collect_list("node").alias("wanted")), "need")  # lines of one text
         held = texts.join(small(need, limit=100_000), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("text", "wanted")
-        sets = written(held.mapInArrow(_sets, "node long, members array<long>"), "sets").dropDuplicates(["node"])
-        full = lambda s: sets.select(F.col("node").alias(s), F.col("members").alias(f"m{s}"))
-        both = pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", F.size("ma").alias("na"), F.size("mb").alias("nb"), F.size(F.array_intersect("ma", "mb")).alias("i"))
-        return both.where(f"100L * i >= {PERCENT}L * (na + nb - i)").select("a", "b")
+        return written(held.mapInArrow(_lines, "node long, line binary"), "texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        lines = lines_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        side = lambda s: lines.select(F.col("node").alias(s), F.col("line").alias(f"l{s}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb").mapInArrow(_linked, "a long, b long").distinct()
+
+    def sketches(need: DataFrame) -> DataFrame:
+        return lines_of(need).mapInArrow(_sketched, "node long, n long, sketch array<long>")
 
-    return verify
+    return verify, sketches
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -155,7 +186,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     firsts = written(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times")).select("node", "first.*", "times"), "firsts")
     buckets = 8 * max(parts(spark), -(-firsts.count() * BANDS // 4_000_000))
     pairs = texts.select("text").mapInArrow(_keyed(buckets), keyjoin.PACKED)
-    _, found = keyjoin.linked(keyjoin.groups(pairs, buckets), verifier(texts, firsts.select("node", "doc_id")))
+    _, found = keyjoin.linked(keyjoin.groups(pairs, buckets), *verifier(texts, firsts.select("node", "doc_id")))
     linked = firsts.join(found, "node", "left").where("root is not null or times > 1").withColumn("root", F.coalesce("root", "node"))
     keepers = linked.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("keep"))
     keepers = written(linked.join(keepers, "root").select("node", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line")), "keepers")
