@@ -219,8 +219,9 @@ def test_components(spark):
             m = min(root[a], root[b])
             changed |= root[a] != m or root[b] != m
             root[a] = root[b] = m
-    got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: r for x, r in root.items() if x in {y for a, b in edges if a != b for y in (a, b)}}
+    for local in (20, 1000):
+        got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(9), local).collect()}
+        assert got == {x: r for x, r in root.items() if x in {y for a, b in edges if a != b for y in (a, b)}}
 
 
 # 4

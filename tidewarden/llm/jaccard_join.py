@@ -31,12 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import keyjoin
-from .common import distinct, doc_text, documents, mix, parts, shingle_sets, signed, small, written
+from .common import distinct, doc_text, documents, mix, parts, shingle_sets, signed, sketch, small, written
 
 WORDS = 5
 PERCENT = 75
 #: Most shingles that are taken as frequent, and so broadcast (8 bytes each).
-FREQUENT = 200_000
+FREQUENT = 500_000
+#: A shingle is frequent from so many texts on, counted in parts of PART texts that repeat it.
+OFTEN = 16
+PART = 4000
 META = "doc_id long, node long, n long, keys long, sketch array<long>, often binary"
 META_ARROW = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.int64()), ("sketch", pa.list_(pa.int64())), ("often", pa.binary())])
 SETS = "node long, members array<long>"
@@ -78,32 +81,37 @@ def block_keys(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketch(members: np.ndarray) -> np.ndarray:
-    """Dense parity sketch of 4 to 8 bits a member: bit i is the parity of the members that hash to i.
-
-    Its halves, one XORed onto the other, are the sketch of half the length.
-    """
-    bits = max(64, 4 << len(members).bit_length())
-    parity = (np.bincount((mix(members ^ np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-    return np.packbits(parity).view(np.int64)
+def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    once: dict[int, np.ndarray] = {}
+    seen = 0
 
+    def repeats() -> bytes | None:
+        """Shingles that several distinct sets of this part of the corpus have, and how many."""
+        every = np.sort(np.concatenate(list(once.values()))) if once else np.zeros(0, np.uint64)
+        often = distinct(every[1:][every[1:] == every[:-1]])
+        counts = np.searchsorted(every, often, "right") - np.searchsorted(every, often)
+        once.clear()
+        return often.tobytes() + counts.astype(np.uint64).tobytes()
 
-def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, texts = batch.column(0), batch.column(1)
-        for a in range(0, len(docs), 2000):
-            part = shingle_sets(texts[a : a + 2000].to_pylist(), WORDS)
+        for a in range(0, len(docs), 500):
+            part = shingle_sets(texts[a : a + 500].to_pylist(), WORDS)
             node = [int(node_of(m)) if len(m) else None for m in part]
-            # shingles that this part of the corpus repeats, over distinct sets: frequent ones show up in most parts
-            once = {x: m for x, m in zip(node, part, strict=True) if x is not None}
-            every = np.sort(np.concatenate(list(once.values()))) if once else np.zeros(0, np.uint64)
-            often = distinct(every[2:][every[2:] == every[:-2]])
-            counts = np.searchsorted(every, often, "right") - np.searchsorted(every, often)
-            blob = [b"".join((often.tobytes(), counts.astype(np.uint64).tobytes()))] + [None] * (len(part) - 1)
+            once.update((x, m) for x, m in zip(node, part, strict=True) if x is not None)
+            seen += len(part)
+            blob = [None] * len(part)
+            if seen >= PART:
+                blob[0], seen = repeats(), 0
             yield pa.RecordBatch.from_arrays(
-                [docs[a : a + 2000], pa.array(node, pa.int64()), pa.array([len(m) for m in part], pa.int64()), pa.array([sum(x for _, x in bands(len(m))) if len(m) else 0 for m in part], pa.int64()), pa.array([sketch(m) if len(m) else None for m in part], pa.list_(pa.int64())), pa.array(blob, pa.binary())],
+                [
+                    docs[a : a + 500], pa.array(node, pa.int64()), pa.array([len(m) for m in part], pa.int64()), pa.array([sum(x for _, x in bands(len(m))) if len(m) else 0 for m in part], pa.int64()),
+                    pa.array([sketch(m) if len(m) else None for m in part], pa.list_(pa.int64())), pa.array(blob, pa.binary()),
+                ],
                 schema=META_ARROW,
-            )
+            )
+    if once:  # a row of no document carries what is left
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2 + [pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([None], pa.list_(pa.int64())), pa.array([repeats()], pa.binary())], schema=META_ARROW)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +121,10 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["member", "count"])
 
 
-def frequent_members(meta: DataFrame, docs: int) -> np.ndarray:
-    """Shingles in over about one of 2,000 documents, the most frequent FREQUENT of them."""
+def frequent_members(meta: DataFrame) -> np.ndarray:
+    """Shingles counted OFTEN times or more where a part repeats them, the most frequent FREQUENT of them."""
     seen = meta.where("often is not null").select("often").mapInArrow(_unpack, "member long, count long").groupBy("member").agg(F.sum("count").alias("count"))
-    rows = seen.where(F.col("count") >= max(12, docs // 2000)).orderBy(F.desc("count"), "member").limit(FREQUENT).select("member").toArrow()
+    rows = seen.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "member").limit(FREQUENT).select("member").toArrow()
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -126,8 +134,8 @@ def _keyed(shared, buckets: int):
 
         def pairs():
             for batch in batches:
-                for a in range(0, batch.num_rows, 1000):
-                    for members in shingle_sets(batch.column(0)[a : a + 1000].to_pylist(), WORDS):
+                for a in range(0, batch.num_rows, 500):
+                    for members in shingle_sets(batch.column(0)[a : a + 500].to_pylist(), WORDS):
                         if len(members):
                             yield block_keys(members, frequent), node_of(members)
 
@@ -192,18 +200,18 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     texts = doc_text(docs)
     meta = written(texts.mapInArrow(_meta, META), "meta")
-    facts = meta.agg(F.count("*").alias("docs"), F.sum("keys").alias("keys")).first()
-    firsts = written(meta.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x")).select("node", "x.*"), "nodes")
-    shared = spark.sparkContext.broadcast(frequent_members(meta, facts["docs"]))
-    buckets = 8 * max(parts(spark), -(-(facts["keys"] or 0) // 4_000_000))
+    keys = meta.agg(F.sum("keys")).first()[0] or 0
+    firsts = written(meta.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "sketch")).alias("x")).select("node", "x.doc_id", "x.n", "x.sketch"), "nodes")
+    shared = spark.sparkContext.broadcast(frequent_members(meta))
+    buckets = 8 * max(parts(spark), -(-keys // 4_000_000))
     pairs = texts.select("text").mapInArrow(_keyed(shared, buckets), keyjoin.PACKED)
-    _, found = keyjoin.linked(keyjoin.groups(pairs, buckets), verifier(texts, firsts, percent), bounds(firsts, percent))
+    _, found = keyjoin.linked(keyjoin.groups(pairs, buckets), verifier(texts, firsts, percent), lambda need: need.join(firsts.select("node", "n", "sketch"), "node"), bounds(firsts, percent), percent)
     # the smallest doc_id of each component
     named = firsts.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     nodes = named.join(least, "root").select("node", "component_id")
     out = meta.where("node is not null").select("doc_id", "node", "n").join(nodes, "node").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    alone = meta.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = meta.where("node is null and n >= 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
 
