@@ -295,6 +295,17 @@ def test_license_expressions():
     assert parse("unknown thing") is None
 
 
+def test_license_expressions_are_read_to_their_end():
+    trie = license_scan.automaton()
+    scan = lambda text: license_scan.scan(text, trie)[5:]
+    labels, _, expressions, permissive = scan("SPDX-License-Identifier: " + "BSD-3-Clause AND " * 40 + "GPL-2.0-only")
+    assert labels == "bsd,gpl" and permissive is False and expressions[0].endswith("GPL-2.0-only")
+    labels, _, expressions, permissive = scan("/* SPDX-License-Identifier: MIT */ int a; /* SPDX-License-Identifier: GPL-2.0-only */")
+    assert labels == "gpl,mit" and permissive is False and expressions == ["MIT", "GPL-2.0-only"]
+    assert scan("SPDX-License-Identifier: " + "(" * 5000 + "MIT" + ")" * 5000 + " " + "and ISC " * 20000)[0] == "isc,mit"
+    assert license_scan.parse("(MIT or ISC) and (Zlib").text == "( MIT or ISC )" and license_scan.parse("MIT) or ISC").text == "MIT" and license_scan.parse("or MIT") is None
+
+
 # 6
 
 

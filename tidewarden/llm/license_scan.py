@@ -42,7 +42,9 @@ NOTICES = {
     "isc license": "isc",
 }
 TAG = "spdx license identifier"
-TAG_TEXT = re.compile(r"SPDX-License-Identifier\s*:\s*([^\r\n]{1,400})", re.I)
+TAG_START = re.compile(r"SPDX-License-Identifier\s*:\s*", re.I)
+LINE_END = re.compile(r"[\r\n]")
+TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 #: Prefix of a lower-case identifier -> label.
 FAMILIES = [("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"), ("cc-by-nc", "cc-by-nc"), ("cc-by-sa", "cc-by-sa"), ("cc-by-nd", "cc-by-nd"), ("cc-by", "cc-by"), ("cc0", "cc0"), ("isc", "isc"), ("unlicense", "unlicense"), ("bsl", "bsl"), ("zlib", "zlib")]
 PERMISSIVE = {"apache", "mit", "bsd", "isc", "cc0", "cc-by", "unlicense", "bsl", "zlib", "public-domain"}
@@ -103,26 +105,48 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
+def longest(text: str) -> list[str]:
+    """Tokens of the longest well-formed expression at the start of text, in one pass."""
+    tokens, end, depth, operand = [], 0, 0, True
+    for found in TOKEN.finditer(text):
+        token = found[0]
+        # operands and "(" come where an operand is due, operators and ")" where none is; nothing mends a break
+        if (token == ")" or token.lower() in ("or", "and", "with")) == operand or token == ")" and not depth:
+            break
+        tokens.append(token)
+        if token in ("(", ")"):
+            depth += 1 if token == "(" else -1
+        else:
+            operand = not operand
+        if not operand and not depth:
+            end = len(tokens)
+    return tokens[:end]
+
+
 def parse(text: str) -> Expression | None:
-    """The longest well-formed expression at the start of text; None without a known identifier."""
-    tokens = re.findall(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*", text)[:60]
-    for end in range(len(tokens), 0, -1):
-        postfix = to_postfix(tokens[:end])
-        if postfix is None:
+    """The longest well-formed expression at the start of text; None without a known identifier.
+
+    A shorter one never has labels that the longest lacks.
+    """
+    tokens = longest(text)
+    stack: list[tuple[frozenset[str], bool]] = []
+    for token in to_postfix(tokens) or ():
+        if token not in ("or", "and", "with"):
+            label = label_of(token)
+            stack.append((frozenset([label] if label else []), label in PERMISSIVE))
             continue
-        stack: list[tuple[frozenset[str], bool]] = []
-        for token in postfix:
-            if token not in ("or", "and", "with"):
-                label = label_of(token)
-                stack.append((frozenset([label] if label else []), label in PERMISSIVE))
-                continue
-            (b, ok_b), (a, ok_a) = stack.pop(), stack.pop()
-            # an exception adds permissions to its licence and is none itself
-            stack.append((a, ok_a) if token == "with" else (a | b, ok_a or ok_b if token == "or" else ok_a and ok_b))
-        labels, permissive = stack[0]
-        if labels:
-            return Expression(labels, permissive, " ".join(tokens[:end]))
-    return None
+        (b, ok_b), (a, ok_a) = stack.pop(), stack.pop()
+        # an exception adds permissions to its licence and is none itself
+        stack.append((a, ok_a) if token == "with" else (a | b, ok_a or ok_b if token == "or" else ok_a and ok_b))
+    return Expression(*stack[0], " ".join(tokens)) if stack and stack[0][0] else None
+
+
+def tag_texts(text: str) -> Iterator[str]:
+    """What follows each tag, up to the next tag or the end of the line."""
+    tags = list(TAG_START.finditer(text))
+    for tag, after in zip(tags, [*(t.start() for t in tags[1:]), len(text)], strict=True):
+        line_end = LINE_END.search(text, tag.end(), after)
+        yield text[tag.end() : line_end.start() if line_end else after]
 
 
 def automaton():
@@ -154,7 +178,7 @@ def scan(text: str, trie) -> tuple:
         else:
             labels.add(NOTICES[phrase])
             miss *= 1 - WEIGHT["notice"]
-    expressions = [x for x in map(parse, TAG_TEXT.findall(text)) if x] if tags else []
+    expressions = [x for x in map(parse, tag_texts(text)) if x] if tags else []
     for x in expressions:
         labels |= x.labels
         miss *= 1 - WEIGHT["tag"]
