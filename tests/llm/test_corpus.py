@@ -428,6 +428,25 @@ def test_pii_discovers_by_context(spark):
     assert out[8] == "email:21:29" and out[0] == "email:58:69,card:15:34"
 
 
+def test_pii_discovers_with_production_values(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(9))
+    # the word before tells, the two words before never repeat
+    docs = [(i, f"{word()} server 10.0.{i}.7, {word()}") for i in range(60)] + [(100 + i, f"{word()} server host{i}x then {word()}") for i in range(6)]
+    # these are believed by then, and with four seeds carry a second context, which has too few seeds of its own
+    docs += [(200 + i, f"{word()} node host{i}x") for i in range(6)] + [(300 + i, f"{word()} node 10.0.{i}.7") for i in range(4)] + [(400, f"{word()} node zz9")]
+    # kinds that mix prove nothing
+    docs += [(500 + i, f"{word()} the 10.1.{i}.7") for i in range(6)] + [(600 + i, f"{word()} the u{i}@x.org") for i in range(6)] + [(700, f"{word()} the k9z")]
+    # more sure contexts than one list of 200 held
+    docs += [(1000 + 10 * p + i, f"{word()} ctx{chr(97 + p // 26)}{chr(97 + p % 26)} " + (f"172.16.{p}.{i}" if i < 7 else f"box{p}q")) for p in range(230) for i in range(8)]
+    out = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    texts, span = dict(docs), lambda i, token: f"ip:{dict(docs)[i].index(token)}:{dict(docs)[i].index(token) + len(token)}"
+    assert len(out) == len(texts)
+    assert [out[100 + i] for i in range(6)] == [span(100 + i, f"host{i}x") for i in range(6)]
+    assert out[400] == span(400, "zz9") and out[700] == ""
+    assert all(out[1000 + 10 * p + 7] == span(1000 + 10 * p + 7, f"box{p}q") for p in range(230))
+
+
 # 9
 
 

@@ -1,21 +1,22 @@
 """Operator 8, personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 1. Seeds: e-mail addresses, IP addresses, payment cards and phone numbers, by pattern and check.
-2. Patterns: the two words to the left of an identifier-like token, digits masked.
-3. The graph of patterns and instances is scored in rounds: a pattern by the share of its instances
-   that are believed (smoothed), an instance by its best pattern; seeds are believed.
-4. The surest patterns (at most PATTERNS, each with SUPPORT distinct seeds or more) are applied to
-   every text and discover identifiers that no seed pattern knows.
+2. Patterns: the two words, and the last word alone, to the left of an identifier-like token, digits
+   masked. Tokens inside a seed don't count.
+3. The graph of patterns and instances grows in rounds: a pattern's score for a kind is the share of
+   its distinct instances that are believed to be of that kind (smoothed); with SUPPORT believed
+   instances and a score of SURE it is admitted, and its other instances are believed by that score.
+   Seeds are believed. Rounds end when no instance is new.
+4. All admitted patterns are joined to the tokens and discover identifiers that no seed pattern knows;
+   where two patterns fit, the surer one tells the kind.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_text, documents, written
+from .common import doc_text, documents, small, written
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "A-Za-z0-9._%+-"
@@ -29,12 +30,14 @@ REGEX = {
 }
 #: What a text must hold for the pattern to be tried at all.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: An identifier-like token with its left context of up to two words.
-CONTEXT = r"(?<!\S)((?:\S{1,30}+\s{1,3}+)?\S{1,30}+)\s{1,3}+([A-Za-z0-9+(@][^\s,;]{0,60}[0-9][^\s,;]{0,60})"
-PATTERNS = 200
+#: An identifier-like token: a word, up to a comma or semicolon, with a digit after its first character.
+TOKEN = r"(?<!\S)[A-Za-z0-9+(@](?=[^\s,;0-9]*+[0-9])[^\s,;]*+"
+LONGEST = 122
+#: Left contexts of two words and of one, and the most characters they take, with one to see a word's beginning.
+CONTEXTS = [r"(?<!\S)(\S{1,30}+\s{1,3}+\S{1,30}+)\s{1,3}+$", r"(?<!\S)(\S{1,30}+)\s{1,3}+$"]
+REACH = 67
 SUPPORT = 5
 SURE = 0.75
-ROUNDS = 3
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -73,34 +76,39 @@ def _masked(context: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(context, "[0-9]+", "#"), r"\s+", " "))
 
 
-def graph(found: DataFrame) -> DataFrame:
-    """(pattern, instance, kind): every identifier-like token in its context; kind null if no seed."""
-    tokens = found.where("__digit").select(
-        F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(CONTEXT), F.lit(1)).alias("context"), F.regexp_extract_all("text", F.lit(CONTEXT), F.lit(2)).alias("token"))).alias("x"),
-        F.concat(*KINDS).alias("spans"),
-    )
-    tokens = tokens.select(_masked(F.col("x.context")).alias("pattern"), F.regexp_replace("x.token", r"[.:!?)\]>\"']+$", "").alias("instance"), "spans")
-    # a token is a seed if one of its text's spans begins or ends it
-    kind = F.filter("spans", lambda s: s["word"].startswith(F.col("instance")) | F.col("instance").startswith(s["word"]))
-    return tokens.select("pattern", "instance", F.get(kind, F.lit(0))["kind"].alias("kind")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.count("*").alias("times"))
-
-
-def patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE, most: int = PATTERNS) -> DataFrame:
-    """(pattern, kind, score) of the surest patterns."""
-    # a pattern that only one instance has tells nothing
-    shared = written(edges.join(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("kind").alias("seeds"), F.mode("kind").alias("main")).where(f"n > 1 and seeds >= {support}"), "pattern"), "graph")
-    belief = shared.select("instance", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("belief")).groupBy("instance").agg(F.max("belief").alias("belief"))
-    scores = None
-    for _ in range(rounds):
-        scores = shared.join(belief, "instance").groupBy("pattern", "main", "seeds").agg((F.sum("belief") / (F.count("*") + 1)).alias("score"))
-        scores = written(scores, "scores")
-        belief = shared.join(scores.select("pattern", "score"), "pattern").groupBy("instance").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("score"))).alias("belief"))
-        belief = written(belief, "belief")
-    return scores.where(F.col("score") >= sure).orderBy(F.desc("score"), F.desc("seeds"), "pattern").limit(most).select("pattern", F.col("main").alias("kind"), "score")
-
-
-def _context_regex(pattern: str) -> str:
-    return r"\s{1,3}".join("".join("[0-9]+" if c == "#" else re.escape(c) for c in w) for w in pattern.split(" "))
+def occurrences(found: DataFrame) -> DataFrame:
+    """(text_key, start, stop, instance, contexts, kind): every identifier-like token; kind null if no seed."""
+    out = found.where("__digit").withColumn("__m", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).where(F.size("__m") > 0)
+    out = out.withColumn("__b", F.split("text", TOKEN, -1)).withColumn("base", F.concat(*KINDS))
+    out = out.select(F.sha2(F.col("text").cast("binary"), 256).alias("text_key"), "text", "base", F.explode(_places("__m", "__b", -1)).alias("x"))
+    out = out.where(F.length("x.word") <= LONGEST).withColumn("word", F.regexp_replace("x.word", r"[.:!?)\]>\"']+$", "")).withColumn("start", F.col("x.start")).withColumn("stop", F.col("start") + F.length("word"))
+    # a token in the middle of a seed begins nothing; one that a seed begins in stands for it
+    out = out.where(~F.exists("base", lambda b: (b["start"] < F.col("start")) & (F.col("start") < b["stop"])))
+    seed = F.get(F.filter("base", lambda b: (b["start"] >= F.col("start")) & (b["start"] < F.col("stop"))), F.lit(0))
+    left = F.expr(f"substring(text, greatest(start - {REACH}, 0) + 1, least(start, {REACH}))")
+    contexts = F.filter(F.array_distinct(F.array(*(_masked(F.regexp_extract(left, c, 1)) for c in CONTEXTS))), lambda c: c != "")
+    return out.select("text_key", "start", "stop", F.coalesce(seed["word"], F.col("word")).alias("instance"), contexts.alias("contexts"), seed["kind"].alias("kind"))
+
+
+def graph(tokens: DataFrame) -> DataFrame:
+    """(pattern, instance, kind) of the tokens; kind null if no seed."""
+    return tokens.select(F.explode("contexts").alias("pattern"), "instance", "kind").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+
+
+def patterns(edges: DataFrame, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
+    """(pattern, kind, score) of all sure patterns."""
+    # a pattern of fewer instances can't have the support
+    shared = written(edges.join(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support), "pattern"), "graph")
+    belief = written(shared.where("kind is not null").groupBy("instance").agg(F.max("kind").alias("kind")).withColumn("belief", F.lit(1.0)), "belief")
+    while True:
+        scores = shared.drop("kind").join(belief, "instance").groupBy("pattern", "kind", "n").agg(F.sum("belief").alias("sum"), F.count("*").alias("believed"))
+        scores = scores.withColumn("score", F.col("sum") / (F.col("n") + 1)).where((F.col("believed") >= support) & (F.col("score") >= sure))
+        chosen = written(scores.groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")), "chosen")
+        new = shared.drop("kind").join(small(chosen), "pattern").groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("belief"))
+        new = written(new.join(belief, "instance", "left_anti"), "new")
+        if new.isEmpty():
+            return chosen
+        belief = written(belief.unionByName(new), "belief")
 
 
 def find(docs: DataFrame, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
@@ -111,25 +119,19 @@ def find(docs: DataFrame, support: int = SUPPORT, sure: float = SURE) -> DataFra
     rows that repeat come out repeated.
     """
     found = seeds(doc_text(docs))
-    chosen = patterns(written(graph(found), "edges"), support=support, sure=sure).collect()  # PATTERNS rows at most
+    tokens = written(occurrences(found), "tokens")
+    chosen = patterns(graph(tokens), support=support, sure=sure)
     found = found.withColumn("__base", F.concat(*KINDS))
-    added = F.array().cast("array<struct<kind:int,start:int,stop:int,word:string>>")
-    columns = []
-    for kind in range(len(KINDS)):
-        contexts = [_context_regex(r["pattern"]) for r in chosen if r["kind"] == kind]
-        if contexts:
-            regex = rf"(?i)(?<!\S)(?:{'|'.join(contexts)})\s{{1,3}}([A-Za-z0-9+(@][^\s,;]{{0,60}}[0-9][^\s,;]{{0,60}}?)(?=[.:!?)\]>\"']*(?:[\s,;]|$))"
-            none = F.array().cast("array<string>")
-            found = found.withColumn("__m", F.when(F.col("__digit"), F.regexp_extract_all("text", F.lit(regex), F.lit(0))).otherwise(none))
-            found = found.withColumn("__b", F.when(F.size("__m") > 0, F.split("text", regex, -1)).otherwise(none)).withColumn("__t", F.when(F.size("__m") > 0, F.regexp_extract_all("text", F.lit(regex), F.lit(1))).otherwise(none))
-            # the identifier ends the match
-            place = F.transform(_places("__m", "__b", kind), lambda x, i: F.struct(x["kind"].alias("kind"), (x["stop"] - F.length(F.get("__t", i))).alias("start"), x["stop"].alias("stop"), F.get("__t", i).alias("word")))
-            free = F.filter(place, lambda x: ~F.exists("__base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-            found = found.withColumn(f"__new{kind}", free).drop("__m", "__b", "__t")
-            columns.append(f"__new{kind}")
-    spans = F.array_sort(F.array_distinct(F.concat("__base", *columns, added)))
+    spans = F.col("__base")
+    if not chosen.isEmpty():
+        hits = tokens.where("kind is null").select("text_key", "start", "stop", "instance", F.explode("contexts").alias("pattern")).join(small(chosen), "pattern")
+        hits = hits.groupBy("text_key", "start", "stop", "instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        # what is found depends on the text alone, so equal texts share it; at most a text's own tokens
+        added = written(hits.groupBy("text_key").agg(F.collect_list(F.struct("kind", "start", "stop", F.col("instance").alias("word"))).alias("__new")), "added")
+        found = found.withColumn("text_key", F.sha2(F.col("text").cast("binary"), 256)).join(small(added, limit=100_000), "text_key", "left")
+        spans = F.concat("__base", F.coalesce("__new", F.array().cast("array<struct<kind:int,start:int,stop:int,word:string>>")))
     text = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(text(F.col("__base")).cast("binary"), 256).alias("base_sha256"), text(spans).alias("spans"))
+    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(text(F.col("__base")).cast("binary"), 256).alias("base_sha256"), text(F.array_distinct(F.array_sort(spans))).alias("spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
