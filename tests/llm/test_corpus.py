@@ -125,6 +125,14 @@ def test_line_dedup(spark):
     assert len(missed) <= 1  # signatures find a pair at 0.75 with a chance of 0.98
 
 
+def test_line_dedup_takes_short_and_spaceless_lines(spark):
+    tabs, wide = "one\ttwo\tthree\tfour\tfive\tsix", "\u6f22\u5b57\u306e\u9577\u3044\u884c\u306b\u306f\u7a7a\u767d\u304c\u306a\u3044"
+    docs = [(i, f"own line number {i * 7919}\nles.\n\n{tabs}\n{wide}\n les. ") for i in range(3)] + [(3, "les"), (4, "LES.")]
+    out = {r["doc_id"]: (r["text"], r["gone"]) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), "gone").collect()}
+    assert out[0] == (f"own line number 0\nles.\n\n{tabs}\n{wide}", 1)
+    assert all(out[i] == (f"own line number {i * 7919}\n", 4) for i in (1, 2)) and out[3] == ("les", 0) and out[4] == ("", 1)
+
+
 def test_line_dedup_on_awkward_rows(spark, odd, empty):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns

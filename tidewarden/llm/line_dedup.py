@@ -1,8 +1,9 @@
 """Operator 2, fuzzy line dedup over the whole corpus.
 
 1. Lines are taken whole, stripped, A-Z lower-cased. A line's id is a hash of that; equal lines are
-   one node from the start. Lines of fewer than WORDS words are left alone everywhere.
-2. Each distinct line's character shingles (8 bytes of UTF-8) get a MinHash signature of
+   one node from the start. Every line that isn't blank takes part; one of under SHINGLE bytes is a
+   single shingle that no other line has, so it has only its equals.
+2. Each longer distinct line's character shingles (8 bytes of UTF-8) get a MinHash signature of
    BANDS * ROWS values; lines that agree on all rows of a band are candidates. At a similarity of
    0.75 a pair is found with a chance of 0.98, at 0.8 with 0.995.
 3. Candidates are verified by the exact Jaccard similarity of their shingle sets (see keyjoin).
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from . import keyjoin
 from .common import distinct, doc_text, documents, mix, parts, sketch, small, written
 
-WORDS = 5
 SHINGLE = 8
 PERCENT = 75
 BANDS = 10
@@ -39,8 +39,7 @@ def eligible(text: str) -> list[tuple[int, bytes]]:
     """(line number, normal form) of the lines that take part."""
     out = []
     for i, line in enumerate(text.encode("utf-8", "surrogatepass").lower().split(b"\n")):
-        line = line.strip()
-        if len(line) >= SHINGLE and line.count(b" ") >= WORDS - 1 and len(line.split(None, WORDS)) >= WORDS:
+        if line := line.strip():
             out.append((i, line))
     return out
 
@@ -112,7 +111,8 @@ def _keyed(buckets: int):
         for batch in batches:
             for text in batch.column(0):
                 for _, line in eligible(text.as_py()):
-                    held[node_of(line)] = line
+                    if len(line) >= SHINGLE:
+                        held[node_of(line)] = line
                 if len(held) * BANDS >= keyjoin.FLUSH // 2:
                     yield out()
         if held:
@@ -198,7 +198,7 @@ def dedup_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
     """docs with repeated lines taken out of text; with ``removed``, a column counting them.
 
     Texts that lose every line that isn't blank are dropped, unless ``removed`` asks for all rows.
-    Null and empty texts, blank lines and lines of fewer than WORDS words stay as they are. Rows that
+    Null and empty texts and blank lines stay as they are. Rows that
     repeat a doc_id count as one document and lose the same line numbers. n_chars, if there is such a
     column, follows the text.
     """
