@@ -8,9 +8,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidewarden.llm import brown_lm, common, decontaminate, exact_dedup, html_extract, jaccard_join, license_scan, line_dedup, packing, pii, toxicity
+from tidewarden.llm import brown_lm, common, decontaminate, exact_dedup, html_extract, jaccard_join, keyjoin, license_scan, line_dedup, packing, pii, toxicity
 
 SF = "/root/testdata/sf0.001"
 #: Extra columns whose names the operators use themselves.
@@ -216,6 +217,16 @@ def test_keys_guarantee_a_meeting():
                 assert 7 * len(np.setxor1d(a, b)) <= len(a) + len(b)
 
 
+def test_keys_with_a_hot_part_keep_their_groups():
+    cool, hot = np.uint64(5), np.uint64(9)
+    part = np.arange(1000, 1000 + keyjoin.HOT)
+    first = keyjoin.packed(np.repeat(hot, len(part)), part, 1, 3)  # all of it hot, smallest node 1000
+    second = keyjoin.packed(np.array([cool, cool, hot]), np.array([1000, 2000, 2000]), 1, 4)
+    rows = [pa.RecordBatch.from_pylist([r for r in first.to_pylist() if len(r["keys"]) == 4], schema=first.schema), second]  # what the home bucket has
+    out = {(r["key"], r["node"]) for b in keyjoin._groups(iter(rows)) for r in b.to_pylist()}
+    assert {(9, 1000), (9, 2000), (5, 1000), (5, 2000)} == out
+
+
 def test_components(spark):
     rnd = random.Random(8)
     edges = [(rnd.randrange(-60, 60), rnd.randrange(-60, 60)) for _ in range(70)] + [(i, i + 1) for i in range(100, 160)]

@@ -6,7 +6,8 @@ are not a billion JVM rows. A bucket's pairs are sorted by key in numpy and grou
 
 Hot keys: where one batch alone holds HOT or more nodes of a key, that part of the group goes to a
 bucket of its own, and only its smallest node goes to the key's bucket too; so no bucket receives a
-hot group whole, and the chains of smallest nodes still join the parts.
+hot group whole, and the chains of smallest nodes still join the parts. All these pairs are marked:
+what one bucket holds of such a key isn't its whole group, so no group of the same nodes replaces it.
 
 Within a bucket 32 more bits of a key are kept; buckets grow in number with the keys, so the share of
 pairs that meet by chance stays as small. Those only cost a verification.
@@ -32,9 +33,9 @@ HOT = 64
 FLUSH = 400_000
 #: Rows of a side of a block, when a large group is compared.
 BLOCK = 4096
-PACKED = "bucket int, home int, keys binary, nodes binary"
+PACKED = "bucket int, home int, hot boolean, keys binary, nodes binary"
 GROUPS = "key long, node long, pivot long"
-PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())])
+PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("hot", pa.bool_()), ("keys", pa.binary()), ("nodes", pa.binary())])
 GROUPS_ARROW = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("pivot", pa.int64())])
 
 
@@ -51,24 +52,21 @@ def packed(keys: np.ndarray, nodes: np.ndarray, buckets: int, salt: int) -> pa.R
     size = np.diff(np.append(start, len(keys)))
     rows = []
 
-    def deal(keys: np.ndarray, nodes: np.ndarray, hot: bool) -> None:
+    def deal(keys: np.ndarray, nodes: np.ndarray, hot: bool, apart: bool = False) -> None:
         home = _home(keys, buckets)
-        bucket = mix(home ^ np.uint64(salt)) % np.uint64(buckets) if hot else home
+        bucket = mix(home ^ np.uint64(salt)) % np.uint64(buckets) if apart else home
         cut = np.append(np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))), len(keys))
         low = keys.astype(np.uint32)
-        rows.extend((int(bucket[a]), int(home[a]), low[a:b].tobytes(), nodes[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True))
+        rows.extend((int(bucket[a]), int(home[a]), hot, low[a:b].tobytes(), nodes[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True))
 
     if (size >= HOT).any():
         hot = np.repeat(size >= HOT, size)
-        deal(keys[hot], nodes[hot], True)
+        deal(keys[hot], nodes[hot], True, apart=True)
         # the smallest node of each hot part goes to the key's own bucket too
-        least = np.minimum.reduceat(nodes, start)
-        one = ~hot
-        one[start[size >= HOT]] = True
-        nodes = nodes.copy()
-        nodes[start[size >= HOT]] = least[size >= HOT]
-        keys, nodes = keys[one], nodes[one]
-    deal(keys, nodes, False)
+        deal(keys[start[size >= HOT]], np.minimum.reduceat(nodes, start)[size >= HOT], True)
+        keys, nodes = keys[~hot], nodes[~hot]
+    if len(keys):
+        deal(keys, nodes, False)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PACKED_ARROW.types, strict=True)], schema=PACKED_ARROW)
 
 
@@ -97,10 +95,13 @@ def pack_stream(pairs: Iterator[tuple[np.ndarray, int]], buckets: int, salt: int
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    marked: list[np.ndarray] = []
     for batch in batches:
-        for _, home, keys, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for _, home, hot, keys, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held[0].append(np.frombuffer(keys, np.uint32) | np.uint64(home << 32))
             held[1].append(np.frombuffer(nodes, np.int64))
+            if hot:
+                marked.append(held[0][-1])
     if held[0]:
         keys, nodes = (np.concatenate(x) for x in held)
         held = ([], [])
@@ -119,12 +120,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.append(start, len(keys)))
-        # groups of the very same nodes under many keys: one of them is enough
+        # groups of the very same nodes under many keys: one of them is enough, unless a key has a hot part elsewhere
         digest = np.add.reduceat(mix(nodes.view(np.uint64)), start) ^ size.astype(np.uint64)
         chosen = np.zeros(len(start), bool)
         few = np.flatnonzero((size > 1) & (size < HOT))
         chosen[few[np.unique(digest[few], return_index=True)[1]]] = True
         chosen |= size >= HOT
+        if marked:
+            chosen |= (size > 1) & np.isin(keys[start], np.unique(np.concatenate(marked)))
         rows = np.repeat(chosen, size)
         pivot = np.repeat(nodes[start], size)
         for a in range(0, int(rows.sum()), 100_000):
