@@ -197,3 +197,19 @@ def test_every_query_runs(spark):
         assert q[name](spark, SF).count() >= 0
     assert set(catalog.oracle_sql()) <= set(q)
     assert math.isclose(q["incidents"](spark, SF).count(), 140)
+
+
+def test_isolation_query_uses_the_default_forest(spark, monkeypatch):
+    import inspect
+
+    seen, real = [], behavior.isolation_scores
+
+    def record(*args, **named):
+        call = inspect.signature(real).bind(*args, **named)
+        call.apply_defaults()
+        seen.append(call.arguments["trees"])
+        return real(*args, **named)
+
+    monkeypatch.setattr(behavior, "isolation_scores", record)
+    catalog.queries()["isolation_forest"](spark, SF)
+    assert seen == [100]

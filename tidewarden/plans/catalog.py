@@ -217,7 +217,7 @@ def best_detector(spark: SparkSession, d: str) -> DataFrame:
 @query("isolation_forest")
 def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
     v = behavior.extract_features(readers.table_events(spark, d))
-    return behavior.isolation_scores(v, v, trees=20)
+    return behavior.isolation_scores(v, v)
 
 
 def _day(hours: int = 24) -> list:
