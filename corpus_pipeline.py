@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarden.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
-from tidewarden.llm.common import drop_written, shared_dir
+from tidewarden.llm.common import drop_written, shared_dir, written
 
 
 def _stage(function):
@@ -36,10 +36,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group of linked documents the one with the smallest doc_id stays."""
-    groups = jaccard_join.jaccard_join(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep"))
-    alone = docs.where("doc_id is null")
-    return docs.join(groups, docs["doc_id"] == F.col("__keep"), "left_semi").unionByName(alone)
+    """Operator 3: of each group of linked documents the one with the smallest doc_id stays; of rows without one or that share it, one."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        groups = jaccard_join.jaccard_join(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep"))
+        return docs.join(groups, docs["doc_id"] == F.col("__keep"), "left_semi")
+    # doc_id is no key: the rows are numbered, in a written table so that the numbers hold
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard_join.jaccard_join(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("keep")
+    keep = rows.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(first).select("keep.__row")
+    return rows.join(keep, "__row", "left_semi").select(*docs.columns)
 
 
 @_stage

@@ -36,6 +36,15 @@ def test_stages(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_near_copies_without_a_key(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, text(1)), (None, text(1)), (7, text(1)), (3, text(2)), (3, text(2)), (3, text(3)), (None, text(4)), (None, text(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(7, text(1)), (3, text(2)), (3, text(3)), (None, text(4))]))
+
+
 def test_pipeline_runs_whole(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and corpus_pipeline.ORACLE_SQL is None
