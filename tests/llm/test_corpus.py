@@ -267,6 +267,28 @@ def test_packing_round_trip(spark, odd, empty):
     assert packing.pack(empty).isEmpty()
 
 
+@pytest.mark.parametrize("window", [64, 256])
+def test_packing_places_every_piece(spark, window):
+    """Small windows: all kinds of slots, cut remainders and full windows, over several tasks."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.tokenizer_path())
+    docs = sf(spark).select("doc_id", "text").repartition(7)
+    pieces = packing.pack(docs, window).collect()
+    ids = {r["doc_id"]: np.array([*model.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4") for r in docs.collect()}
+    at, fill, cuts = collections.Counter(), collections.Counter(), 0
+    for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
+        x = ids[p["doc_id"]]
+        assert p["start"] == at[p["doc_id"]] and p["doc_tokens"] == len(x) and zlib.crc32(x[p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"]
+        cuts += p["length"] < window and p["start"] + p["length"] < len(x)
+        at[p["doc_id"]] += p["length"]
+    assert at == {i: len(x) for i, x in ids.items()} and cuts
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        assert p["offset"] == fill[p["sequence_id"]]
+        fill[p["sequence_id"]] += p["length"]
+    assert sorted(fill) == list(range(len(fill))) and sum(v != window for v in fill.values()) <= 1
+
+
 def test_plan_fills_windows():
     rnd = np.random.default_rng(1)
     counts = np.bincount(rnd.integers(1, 64, 5000), minlength=64)

@@ -1,7 +1,8 @@
 """Operator 4, packing into fixed windows by non-negative least squares.
 
-1. Every document is tokenised once; its ids go to a written table (two bytes an id where the
-   vocabulary allows), with its rank among the rows of the same task and remainder length.
+1. Every document is tokenised once. A written table holds, for each, its number of ids, the checksums
+   of its full windows and of the remainder, the remainder's ids (two bytes an id where the vocabulary
+   allows) and its rank among the rows of the same task and remainder length.
 2. What is left of each document after its full windows gives one histogram over all documents
    (at most window - 1 lengths, whatever the corpus). On the driver, shallow combinations of lengths
    that fill a window exactly are enumerated, their repeat counts are solved for by non-negative
@@ -10,7 +11,10 @@
    last sequence is short.
 
 A remainder's place is a closed form of (length, rank), so nothing is gathered: ranks come from
-per-task counts by a running sum. Tokens are cut freely; each id lies in exactly one piece.
+per-task counts by a running sum. Tokens are cut freely; each id lies in exactly one piece. Only rows
+of some forty bytes a document move; ids are read again just for the remainders that a window border
+cuts, at most one a residual sequence. Ranks rise with the task, so those lie in the last tasks of
+their length, and the others' ids never meet a shuffle.
 """
 
 from __future__ import annotations
@@ -30,13 +34,14 @@ from .common import doc_text, documents, small, written
 
 WINDOW = 2048
 END = 1
-#: Words that a worker keeps the ids of.
-CACHE = 400_000
+#: Words that a worker keeps the ids of; some 200 bytes each.
+CACHE = 1_200_000
 DEPTH_LENGTHS = 96
 #: Documents encoded together.
-BATCH = 800
-TOKENS = "chunk int, row long, doc_id long, n long, left int, rank long, fulls long, ids binary"
-TOKENS_ARROW = pa.schema([("chunk", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("left", pa.int32()), ("rank", pa.int64()), ("fulls", pa.int64()), ("ids", pa.binary())])
+BATCH = 200
+TOKENS = "chunk int, row long, doc_id long, n long, left int, rank long, fulls long, crcs binary, tail binary"
+TOKENS_ARROW = pa.schema([("chunk", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("left", pa.int32()), ("rank", pa.int64()), ("fulls", pa.int64()), ("crcs", pa.binary()), ("tail", pa.binary())])
+CUTS = "chunk int, left int, row long, place long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES_ARROW = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
 
@@ -116,25 +121,37 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _checksums(ids: np.ndarray, window: int) -> bytes:
+    """CRC-32 of each full window and of what is left, as little-endian 32-bit numbers."""
+    data = memoryview(ids.astype("<u4").tobytes())
+    return np.array([zlib.crc32(data[a : a + 4 * window]) for a in range(0, len(data), 4 * window)], "<u4").tobytes()
+
+
 def _tokens(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, chunk, row, fulls = encoder_of(path), TaskContext.get().partitionId(), 0, 0
         seen = np.zeros(window, np.int64)
         end = np.array([END], encoder.kind).tobytes()
+        size = encoder.kind.itemsize
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
                 ids = [x + end for x in encoder.encode(batch.column(1)[a : a + BATCH].to_pylist())]
-                n = np.array([len(x) // encoder.kind.itemsize for x in ids], np.int64)
-                left, rank, before = n % window, np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+                n = np.array([len(x) // size for x in ids], np.int64)
+                left, rank = n % window, np.zeros(len(n), np.int64)
                 for i, length in enumerate(left):
                     rank[i] = seen[length]
                     seen[length] += 1
-                    before[i] = fulls
-                    fulls += n[i] // window
+                before = fulls + np.cumsum(n // window) - n // window
+                fulls = int(before[-1] + n[-1] // window)
+                crcs = [_checksums(np.frombuffer(x, encoder.kind), window) for x in ids]
+                tails = [x[len(x) - size * int(k) :] for x, k in zip(ids, left, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), chunk, np.int32)), pa.array(np.arange(row, row + len(n))), batch.column(0)[a : a + BATCH], pa.array(n), pa.array(left.astype(np.int32)), pa.array(rank), pa.array(before), pa.array(ids, pa.binary())],
+                    [
+                        pa.array(np.full(len(n), chunk, np.int32)), pa.array(np.arange(row, row + len(n))), batch.column(0)[a : a + BATCH], pa.array(n), pa.array(left.astype(np.int32)), pa.array(rank), pa.array(before),
+                        pa.array(crcs, pa.binary()), pa.array(tails, pa.binary()),
+                    ],
                     schema=TOKENS_ARROW,
-                )
+                )
                 row += len(n)
 
     return run
@@ -173,14 +190,22 @@ def repeats(counts: np.ndarray, combos: list[tuple[int, ...]], sweeps: int = 12)
     return x
 
 
+#: Room for the rank in a key of (length, rank).
+_RANKS = 1 << 50
+
+
 def plan(counts: np.ndarray, window: int = WINDOW) -> dict:
-    """Where the r-th remainder of each length goes; see _pieces for its use."""
+    """Where the r-th remainder of each length goes; see _pieces for its use.
+
+    ``slots`` has a row for each combination and length of it: the ranks from ``key % _RANKS`` on fill
+    the ``times`` sequences from ``first`` on, ``m`` remainders in each, at the offsets ``at``.
+    """
     counts = counts.copy()
     counts[0] = 0
     combos = combinations(counts, window)
     wanted = np.floor(repeats(counts, combos) + 1e-6).astype(np.int64) if combos else np.zeros(0, np.int64)
     free, taken, sequences = counts.copy(), np.zeros(window, np.int64), 0
-    slots: dict[int, list[tuple[int, int, int, int, tuple[int, ...]]]] = {}
+    slots: list[tuple[int, int, int, int, int, int]] = []
     for exact in (False, True):  # the solution rounded; then what rounding has left of the combinations
         for k in np.argsort(-wanted, kind="stable"):
             combo = combos[k]
@@ -190,44 +215,93 @@ def plan(counts: np.ndarray, window: int = WINDOW) -> dict:
             if times <= 0:
                 continue
             for a, m in each.items():
-                at = tuple(sum(combo[:i]) for i, x in enumerate(combo) if x == a)
-                slots.setdefault(a, []).append((int(taken[a]), int(taken[a] + times * m), sequences, m, at))
+                at = [sum(combo[:i]) for i, x in enumerate(combo) if x == a]
+                slots.append((a * _RANKS + int(taken[a]), sequences, m, *at, *[0] * (3 - m)))
                 taken[a] += times * m
                 free[a] -= times * m
             sequences += times
     lengths = np.arange(window)
     base = np.concatenate(([0], np.cumsum(free * lengths)[:-1]))
     rest = int((free * lengths).sum())
-    return {"window": window, "slots": slots, "taken": taken, "base": base, "first_rest": sequences, "first_full": sequences + -(-rest // window)}
+    return {"window": window, "slots": np.array(sorted(slots), np.int64).reshape(-1, 6), "taken": taken, "base": base, "first_rest": sequences, "first_full": sequences + -(-rest // window)}
+
+
+def _places(p: dict, left: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, offset, place among the residuals or -1) of remainders."""
+    window, slots = p["window"], p["slots"]
+    rest = rank >= p["taken"][left]
+    place = np.where(rest, p["base"][left] + (rank - p["taken"][left]) * left, -1)
+    sequence, offset = p["first_rest"] + place // window, place % window
+    if len(slots):
+        row = slots[np.maximum(np.searchsorted(slots[:, 0], left * _RANKS + rank, "right") - 1, 0)]
+        times, slot = np.divmod(rank - row[:, 0] % _RANKS, np.maximum(row[:, 2], 1))
+        sequence = np.where(rest, sequence, row[:, 1] + times)
+        offset = np.where(rest, offset, row[np.arange(len(row)), 3 + slot % 3])
+    return sequence, offset, place
+
 
+def _cut(p: dict, left: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which remainders a window border cuts."""
+    return (place >= 0) & (place % p["window"] + left > p["window"])
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy().astype(np.int64) for c in names]
+
+
+def _as_pieces(docs: pa.Array, columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([docs, *(pa.array(c.astype(np.int64)) for c in columns)], schema=PIECES_ARROW)
+
+
+def _pieces(shared):
+    """All pieces but those of remainders that a window border cuts."""
 
-def _pieces(shared, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        window, slots = p["window"], p["slots"]
+        window = p["window"]
         for batch in batches:
-            rows = []
-            for doc, n, left, rank, full, ids in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "n", "left", "rank", "full", "ids")), strict=True):
-                ids = np.frombuffer(ids, "<u4" if wide else "<u2").astype("<u4")
-                crc = lambda a, b, ids=ids: zlib.crc32(ids[a:b].tobytes())
-                for i in range(n // window):
-                    rows.append((doc, i * window, window, crc(i * window, (i + 1) * window), n, p["first_full"] + full + i, 0))
-                if not left:
-                    continue
-                start = n - left
-                if rank < p["taken"][left]:
-                    a, _, first, m, at = next(s for s in slots[left] if s[0] <= rank < s[1])
-                    times, slot = divmod(rank - a, m)
-                    rows.append((doc, start, left, crc(start, n), n, first + times, at[slot]))
-                else:
-                    place = int(p["base"][left]) + (rank - int(p["taken"][left])) * left
-                    while start < n:
-                        k, offset = divmod(place, window)
-                        size = min(n - start, window - offset)
-                        rows.append((doc, start, size, crc(start, start + size), n, p["first_rest"] + k, offset))
-                        start, place = start + size, place + size
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=PIECES_ARROW)
+            if not batch.num_rows:
+                continue
+            n, left, rank, full = _numbers(batch, "n", "left", "rank", "full")
+            crcs = np.frombuffer(b"".join(batch.column("crcs").to_pylist()), "<u4")
+            fulls = n // window
+            first = np.cumsum(fulls + (left > 0)) - fulls - (left > 0)  # a row's checksums in crcs
+            row = np.repeat(np.arange(len(n)), fulls)
+            i = np.arange(len(row)) - np.repeat(np.cumsum(fulls) - fulls, fulls)
+            yield _as_pieces(batch.column("doc_id").take(pa.array(row)), [i * window, np.full(len(row), window), crcs[first[row] + i], n[row], p["first_full"] + full[row] + i, np.zeros(len(row))])
+            sequence, offset, place = _places(p, left, rank)
+            row = np.flatnonzero((left > 0) & ~_cut(p, left, place))
+            yield _as_pieces(batch.column("doc_id").take(pa.array(row)), [(n - left)[row], left[row], crcs[(first + fulls)[row]], n[row], sequence[row], offset[row]])
+
+    return run
+
+
+def _cuts(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        for batch in batches:
+            left, rank = _numbers(batch, "left", "rank")
+            place = _places(p, left, rank)[2]
+            row = pa.array(np.flatnonzero(_cut(p, left, place)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("chunk", "left", "row")), pa.array(place).take(row)], names=["chunk", "left", "row", "place"])
+
+    return run
+
+
+def _halves(shared, kind: str):
+    """The two pieces of each cut remainder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        window = p["window"]
+        for batch in batches:
+            n, left, place = _numbers(batch, "n", "left", "place")
+            ids = [np.frombuffer(x, kind).astype("<u4") for x in batch.column("tail").to_pylist()]
+            size = window - place % window
+            crc = lambda part: np.array([zlib.crc32(x.tobytes()) for x in part], np.int64)
+            sequence = p["first_rest"] + place // window
+            yield _as_pieces(batch.column("doc_id"), [n - left, size, crc(x[:k] for x, k in zip(ids, size, strict=True)), n, sequence, place % window])
+            yield _as_pieces(batch.column("doc_id"), [n - left + size, left - size, crc(x[k:] for x, k in zip(ids, size, strict=True)), n, sequence + 1, np.zeros(len(n))])
 
     return run
 
@@ -238,9 +312,11 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     A null or empty text is the end id alone. Rows that repeat a doc_id are packed each on its own.
     Sequences hold ``window`` ids, but for at most one. Only doc_id and text are read.
     """
+    from tokenizers import Tokenizer
+
     spark, path = docs.sparkSession, path or tokenizer_path()
     tokens = written(doc_text(docs).mapInArrow(_tokens(path, window), TOKENS), "tokens")
-    tally = written(tokens.groupBy("chunk", "left").agg(F.count("*").alias("rows"), F.sum(F.floor(F.col("n") / window)).alias("fulls")), "tally")
+    tally = written(tokens.groupBy("chunk", "left").agg(F.count("*").alias("rows"), F.expr(f"sum(n div {window})").alias("fulls")), "tally")
     counts = np.zeros(window, np.int64)
     for row in tally.groupBy("left").agg(F.sum("rows").alias("rows")).collect():  # at most `window` rows
         counts[row["left"]] = row["rows"]
@@ -249,11 +325,20 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     ranks = tally.select("chunk", "left", F.coalesce(F.sum("rows").over(before.partitionBy("left")), F.lit(0)).alias("ranks"))
     fulls = tally.groupBy("chunk").agg(F.sum("fulls").alias("fulls")).select("chunk", F.coalesce(F.sum("fulls").over(before), F.lit(0)).alias("first"))  # a row for each task
     at = written(ranks.join(small(fulls), "chunk"), "at")
-    rows = tokens.join(small(at), ["chunk", "left"]).select("doc_id", "n", "left", (F.col("rank") + F.col("ranks")).alias("rank"), (F.col("fulls") + F.col("first")).alias("full"), "ids")
-    from tokenizers import Tokenizer
-
-    wide = Tokenizer.from_file(path).get_vocab_size() > 65536
-    return rows.mapInArrow(_pieces(shared, wide), PIECES)
+    at = small(at)
+    rank = (F.col("rank") + F.col("ranks")).alias("rank")
+    rows = tokens.select("chunk", "left", "doc_id", "n", "rank", "fulls", "crcs").join(at, ["chunk", "left"])
+    pieces = rows.select("doc_id", "n", "left", rank, (F.col("fulls") + F.col("first")).alias("full"), "crcs").mapInArrow(_pieces(shared), PIECES)
+    cuts = written(tokens.select("chunk", "left", "row", "rank").join(at, ["chunk", "left"]).select("chunk", "left", "row", rank).mapInArrow(_cuts(shared), CUTS), "cuts")
+    n_cuts = cuts.count()
+    if not n_cuts:
+        return pieces
+    # each length's cut remainders lie in its last tasks
+    least = {r["left"]: r["chunk"] for r in cuts.groupBy("left").agg(F.min("chunk").alias("chunk")).collect()}  # at most `window` rows
+    bounds = F.split(F.lit(",".join(str(least.get(k, 1 << 30)) for k in range(window))), ",").cast("array<int>")
+    tails = tokens.select("chunk", "row", "doc_id", "n", "left", "tail").where(F.col("chunk") >= F.get(bounds, F.col("left")))
+    kind = "<u4" if Tokenizer.from_file(path).get_vocab_size() > 65536 else "<u2"
+    return pieces.unionByName(tails.join(small(cuts.drop("left"), n_cuts), ["chunk", "row"]).select("doc_id", "n", "left", "place", "tail").mapInArrow(_halves(shared, kind), PIECES))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
