@@ -306,6 +306,16 @@ def test_encoder_equals_the_tokenizer():
     assert e.encode(texts) == e.plain(texts) == e.encode(texts)
 
 
+def test_merged_words_have_the_tokenizers_ids(spark):
+    """All words of the table, and words of random letters and of repeated ones."""
+    e, rnd = packing.Encoder(packing.tokenizer_path()), random.Random(4)
+    assert e.merger is not None
+    found = {w for r in sf(spark).collect() for w in e.cut(r["text"] or "") or () if w != "\n"}
+    found |= {"".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 24))) for alphabet in ("ab", "aeiostrn ", "éüñß中文😀 x", "0123456789.,;'!?-_", "ĠĊ\u0120 \xa0") for _ in range(3000)}
+    found |= {" it's", "'select", " \"quoted\"", " a1b2", " x×y", " o'er-the", " (né)", "1,000.5", " co²", "e\u0301a", " ½a"}
+    assert e.words(sorted(found)) == e.plain(sorted(found))
+
+
 # 5
 
 

@@ -19,7 +19,9 @@ their length, and the others' ids never meet a shuffle.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,7 +37,7 @@ from .common import doc_text, documents, small, written
 WINDOW = 2048
 END = 1
 #: Words that a worker keeps the ids of; some 200 bytes each.
-CACHE = 1_200_000
+CACHE = 600_000
 DEPTH_LENGTHS = 96
 #: Documents encoded together.
 BATCH = 200
@@ -52,17 +54,53 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Letters (and bytes beyond ASCII), digits, white space, signs.
+_CLASS = [0 if b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 else 1 if 48 <= b <= 57 else 2 if b in b" \t\n\v\f\r" else 3 for b in range(256)]
+#: Words whose pre-tokens are runs of one class: no apostrophe, and beyond ASCII only old Latin letters.
+_SIMPLE = re.compile("[\x20-\x26\x28-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Tokens that can stand in such a word (0xC3 to 0xC9 begin the Latin letters).
+_REACHED = re.compile(rb"(?! *\Z)[\x20-\x26\x28-\x7e\x80-\xbf\xc3-\xc9]+")
+
+
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Bytes of each token -> id, where that alone tells how words are merged; else None.
+
+    It does if the model is plain byte-level BPE whose ids follow its merges: then the pair to merge
+    next is the one that makes the token of the smallest id. For such a vocabulary the two readings
+    agree: a token's own bytes, merged by themselves, give that token, so no other pair can stand for it.
+    No token that such words reach may hold letters, digits and signs mixed, so that they need no cutting at
+    those borders.
+    """
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    model, before = found["model"], found["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not found["normalizer"] and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
+        return None
+    # byte-level BPE writes bytes that aren't printable as the letters from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
+    added = {x["content"] for x in found["added_tokens"]}
+    ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if t not in added}
+    made = [ranks[bytes(map(byte_of.__getitem__, m.replace(" ", "") if isinstance(m, str) else "".join(m)))] for m in model["merges"]]
+    singles = sorted(i for t, i in ranks.items() if len(t) == 1)
+    apart = all(len({_CLASS[b] for b in t.removeprefix(b" ")}) < 2 for t in ranks if _REACHED.fullmatch(t))
+    return ranks if apart and singles == list(range(256)) and made == list(range(256, 256 + len(made))) and len(ranks) == 256 + len(made) else None
+
+
 class Encoder:
     """Ids of whole texts, as little-endian bytes, with a cache of words.
 
     Byte-level BPE never merges across a pre-token border, and there is one before each single space
     that stands between non-spaces and around each such newline. Texts are cut there, and each
-    distinct word is encoded once, or once a batch if it came after the cache was full. Texts with other white space, unprintable
-    characters or special tokens go through whole.
+    distinct word is merged once, or once a batch if it came after the cache was full; where the
+    vocabulary allows (see merge_ranks), by tiktoken, whose ids are the same. Texts with other white
+    space, unprintable characters or special tokens go through whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -73,6 +111,8 @@ class Encoder:
         #: the id of a newline, if it is one token
         self.newline = int(np.frombuffer(newline, self.kind)[0]) if len(newline) == self.kind.itemsize else 0
         self.known: dict[str, bytes] = {"\n": newline}
+        ranks = merge_ranks(path)
+        self.merger = tiktoken.Encoding("words", pat_str=r"\n|[^\n]+", mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,7 +121,18 @@ class Encoder:
         """Ids of words without newlines, by one call: a newline between two words is a token of its own."""
         if not self.newline or not words:
             return self.plain(words)
-        data = array(self.code, self.model.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids)
+        if self.merger is None:
+            return self._parts(words, self.model.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids)
+        simple = [_SIMPLE.fullmatch(w) is not None for w in words]
+        easy = [w for w, x in zip(words, simple, strict=True) if x]
+        hard = [w for w, x in zip(words, simple, strict=True) if not x]
+        a = iter(self._parts(easy, self.merger.encode_ordinary("\n".join(easy))) if easy else ())
+        b = iter(self._parts(hard, self.model.encode_batch_fast(["\n".join(hard)], add_special_tokens=False)[0].ids) if hard else ())
+        return [next(a) if x else next(b) for x in simple]
+
+    def _parts(self, words: list[str], found: list[int]) -> list[bytes]:
+        """found, the ids of words with newlines between, cut into each word's."""
+        data = array(self.code, found)
         ids, size = np.frombuffer(data, self.kind), self.kind.itemsize
         at = (np.flatnonzero(ids == self.newline) * size).tolist()
         if len(at) != len(words) - 1:
