@@ -80,9 +80,9 @@ def test_exact_dedup(spark, odd, empty, winners):
 
 
 def line_model(rows):
-    occurrences = [(i, k, line) for i, t in rows for k, line in line_dedup.eligible(t or "")]
+    occurrences = [(i, k, line) for i, t in rows for k, line in line_dedup.eligible((t or "").encode())]
     lines = list(dict.fromkeys(x[2] for x in occurrences))
-    sets = [{x[j : j + 8] for j in range(len(x) - 7)} for x in lines]
+    sets = [{x.decode()[j : j + 8] for j in range(len(x.decode()) - 7)} for x in lines]
     root = list(range(len(lines)))
 
     def find(x):
@@ -134,6 +134,33 @@ def test_line_dedup_takes_short_and_spaceless_lines(spark):
     assert all(out[i] == (f"own line number {i * 7919}\n", 4) for i in (1, 2)) and out[3] == ("les", 0) and out[4] == ("", 1)
 
 
+def test_line_shingles_are_characters():
+    texts = ["plain ascii line", "häßliche Wörter, été", "漢字の長い行には空白がない", "mixed 漢字 and ascii", "😀😀 surrogate pairs 😀"]
+    data = [t.encode() for t in texts]
+    h, first = line_dedup.shingles(b"".join(data), np.cumsum([0, *map(len, data[:-1])]))
+    for t, x in zip(texts, np.split(h, first[1:]), strict=True):
+        assert len(x) == len(t) - 7 and (np.sort(x) == np.sort(line_dedup.shingles(t.encode(), np.zeros(1, np.int64))[0])).all()
+    same = set(line_dedup.members("é plain ascii line".encode())) & set(line_dedup.members(b"plain ascii line"))
+    assert len(same) == len("plain ascii line") - 7
+    assert line_dedup.long_enough("漢字の長い行にはあ".encode()) and not line_dedup.long_enough("漢字の長い行".encode())
+
+
+def test_line_dedup_keeps_what_stands_nowhere_else(spark):
+    """Null and shared doc_ids: a row loses only lines that stand elsewhere too."""
+    say = lambda k: f"line number {k * 7919} says something of its own, {k}"
+    rows = [(5, f"{say(1)}\n{say(2)}"), (5, f"{say(3)}\n{say(1)}"), (None, f"{say(4)}\n{say(2)}"), (None, f"{say(5)}\n{say(6)}"), (9, f"{say(4)}\n{say(6)}\n{say(7)}")]
+    out = [r["text"].split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), "gone").collect()]
+    left = collections.Counter(x for t in out for x in t if x)
+    assert set(left) == {say(k) for k in range(1, 8)} and max(left.values()) == 1
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    rows = [(1, "the very same line of text", 1, "a", 0.5), (2, "the very same line of text\nand another one here", 1, "b", 1.5)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, __key int, __lines string, __blank double")
+    out = line_dedup.dedup_lines(docs)
+    assert out.schema.names == docs.schema.names and [tuple(r) for r in out.orderBy("doc_id").collect()] == [rows[0], (2, "and another one here", 1, "b", 1.5)]
+
+
 def test_line_dedup_on_awkward_rows(spark, odd, empty):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns

@@ -10,6 +10,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +22,20 @@ from pyspark.sql import functions as F
 #: Largest number of rows that is ever broadcast; every use has a shuffle join beyond it.
 BROADCAST_ROWS = 400_000
 
-_tables: list[str] = []
+#: Where ``written`` notes its tables, if a caller wants to delete them later; see ``noted``.
+_noted: ContextVar[list[str] | None] = ContextVar("_noted", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Where that is unset: on a local master a temporary folder, on a cluster one beside the tables of
+    the warehouse, which all machines see.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"{tempfile.gettempdir()}/tidewarden-{uuid.uuid4().hex}"
+        root = tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        found = f"{root}/tidewarden-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -37,19 +45,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewarden/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _tables.append(path)
+    if (paths := _noted.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete the scratch tables written so far. Call only when no result still reads them."""
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Within it, ``written`` adds the paths of its tables to the caller's own list."""
+    before = _noted.set(paths)
+    try:
+        yield
+    finally:
+        _noted.reset(before)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables and empty the list. Call only when no result still reads them."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _tables:
-        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Nothing is kept by the module any more; see ``noted``."""
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with as many underscores after it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast df if it has at most ``limit`` rows; otherwise leave the join to a shuffle."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df

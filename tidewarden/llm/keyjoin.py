@@ -195,23 +195,24 @@ def linked(
     sizes and parity sketches, by which large groups are compared in blocks without writing pairs.
     """
     grouped = written(grouped, "groups")
-    spark = grouped.sparkSession
-    found = spark.createDataFrame([], "node long, root long")
-    links = spark.createDataFrame([], "a long, b long")
+    none = lambda *names: grouped.sparkSession.range(0).select(*(F.col("id").alias(n) for n in names))
+    found: DataFrame | None = None
+    links = none("a", "b")
     stars = grouped.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     done: list[DataFrame] = []
 
     def open_pairs(pairs: DataFrame) -> DataFrame:
         """Those not verified yet whose ends lie in different components."""
-        at = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        if found is not None:
+            at = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+            pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
         for verified in done:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
         return pairs
 
     def strays(best: bool) -> DataFrame:
         """Nodes outside their group's main component, with the group's other members."""
-        at = grouped.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        at = grouped.join(found if found is not None else none("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         main = at.groupBy("key").agg(F.min_by("root", "node").alias("main"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
         at = written(at.join(main.select("key", "main", "size"), "key").withColumn("stray", F.expr("root <> main")), "open")
         few = at.where(f"size < {HOT}")
@@ -241,5 +242,6 @@ def linked(
             continue
         links = links.unionByName(more)
         # the components so far stand for the links so far
-        found = written(connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
-    return links, found
+        edges = more if found is None else found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+        found = written(connected_components(edges), "components")
+    return links, found if found is not None else none("node", "root")
