@@ -443,6 +443,74 @@ def test_language_model(spark, odd, empty):
     assert (lost["n_tokens"], lost["n_known"], lost["train_tokens"], lost["base_score"]) == (3, 0, 0, 0.0)
 
 
+def lm_model(rows, classes, clustered, met):
+    """The class model word by word, from the operator's own exchange."""
+    toks = lambda t: [*(t or "").encode().lower().split(), b""]
+    key = lambda w: int(brown_lm.tokens([w.decode()])[0][0] if w else brown_lm.END[0])
+    train = [toks(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = collections.Counter(w for t in train for w in t)
+    signed = lambda x: x - (1 << 64) * (x >> 63)
+    core = sorted(count, key=lambda w: (w != b"", -count[w], signed(key(w))))[:clustered]
+    at = {w: i for i, w in enumerate(core)}
+    size = len(core)
+    grams = np.zeros((size + 1, size + 1))
+    for t in train:
+        for a, b in zip([b"", *t], t):
+            grams[at.get(a, size), at.get(b, size)] += 1
+    of = brown_lm.exchange(grams, classes, fixed=1)
+    k = int(of[-1])
+    inner = np.zeros((k, k))
+    for i in range(size):
+        for j in range(size):
+            inner[of[i], of[j]] += grams[i, j]
+    likely = lambda a, b: math.log((inner[a, b] + 5 * (inner[:, b].sum() + 0.5) / (inner.sum() + 0.5 * k)) / (inner[a].sum() + 5))
+    near = collections.defaultdict(list)
+    for t in train:
+        for i, w in enumerate(t):
+            if w not in at:
+                before, after = t[i - 1] if i else b"", t[i + 1]
+                near[w] += [(side, of[at[x]]) for side, x in (("l", before), ("r", after)) if x in at]
+    kind = {w: of[i] for w, i in at.items()}
+    for w, seen in near.items():
+        if len(seen) >= met:
+            kind[w] = int(np.argmax([sum(likely(x, c) if side == "l" else likely(c, x) for side, x in seen) for c in range(k)]))
+    total, steps = collections.Counter(), collections.Counter()
+    for t in train:
+        for a, b in zip([b"", *t], t):
+            total[kind.get(b, k)] += 1
+            steps[of[at[a]] if a in at else k, kind.get(b, k)] += 1
+    opened = [w for w in count if kind.get(w, k) == k]
+    n, v = sum(count.values()), len(count)
+    out = {}
+    for i, text in rows:
+        score, t = 0.0, toks(text)
+        for a, b in zip([b"", *t], t):
+            x, c = of[at[a]] if a in at else k, kind.get(b, k)
+            share = (total[c] + 0.5) / (n + 0.5 * (k + 1))
+            score += math.log10((steps[x, c] + 5 * share) / (sum(steps[x, y] for y in range(k + 1)) + 5))
+            unseen = brown_lm.DISCOUNT * max(len(opened), 1) / max(total[k], 1) / (v + 1)
+            score += math.log10(unseen if not count[b] else (count[b] - brown_lm.DISCOUNT * (c == k)) / total[c])
+        out[i] = score
+    return out
+
+
+@pytest.mark.parametrize("listed", [40, 10_000])
+def test_class_model_word_by_word(spark, listed):
+    """Also: how many words are broadcast changes no score."""
+    rnd = random.Random(11)
+    docs = [(i, " ".join(f"{rnd.choice('nv')}{int(rnd.paretovariate(0.8)) % 200}" for _ in range(rnd.randrange(60)))) for i in range(120)]
+    out = brown_lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), classes=5, clustered=30, listed=listed, met=4).collect()
+    expected = lm_model(docs, 5, 30, 4)
+    assert all(r["score"] == pytest.approx(expected[r["doc_id"]], abs=1e-6) for r in out)
+
+
+def test_language_model_on_lopsided_tables(spark):
+    for docs in ([(0, "a a b")], [(i, "x " * 500 + " ".join(f"w{i}q{j}" for j in range(900))) for i in range(3)], [(i, None) for i in range(9)], [(i, "same") for i in range(9)]):
+        for sizes in ({}, {"listed": 2}, {"clustered": 1}):
+            out = brown_lm.score(spark.createDataFrame(docs, "doc_id long, text string"), **sizes).collect()
+            assert len(out) == len(docs) and all(math.isfinite(r["score"]) and r["score"] <= 1e-9 for r in out)
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(3)
     counts = np.zeros((22, 22))
