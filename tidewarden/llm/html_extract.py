@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+PLAIN = re.compile("[^>\"']*")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 NAME = re.compile(r"[a-zA-Z]+")
 #: Elements whose content is no text of the page. Fixed values of the HTML standard, as are the next three.
@@ -42,7 +43,22 @@ GOOD_WORDS = frozenset("article post entry content story main body text articleb
 INFINITE = 10**9
 
 
-@dataclass
+@dataclass(slots=True)
+class _Open:
+    """An open element. ``box`` is the innermost that isn't inline: itself or one around it."""
+
+    tag: str
+    bad: float
+    good: float
+    link: bool
+    node: int
+    parent: _Open | None
+    #: how many elements that aren't inline are open, this one included
+    depth: int
+    box: _Open | None = None
+
+
+@dataclass(slots=True)
 class Block:
     text: str
     words: int
@@ -50,21 +66,66 @@ class Block:
     bad: float
     good: float
     tag: str
-    path: tuple[int, ...]
+    box: _Open
 
 
-@dataclass
-class _Open:
-    tag: str
-    bad: float
-    good: float
-    link: bool
-    node: int
+class _Stack:
+    """The open elements, with the places of each tag, so that no step walks over the whole stack."""
+
+    def __init__(self) -> None:
+        self.items: list[_Open] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, x: _Open) -> None:
+        self.at.setdefault(x.tag, []).append(len(self.items))
+        self.items.append(x)
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost of these tags; 0 (the page itself) if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def cut(self, to: int) -> None:
+        while len(self.items) > to:
+            self.at[self.items.pop().tag].pop()
+
+
+class _Tags:
+    """Where tags end. Quotes are heeded until one of them never closes; each search goes on from the last."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose name ends at ``at``; -1 if there is none in the page."""
+        page = self.page
+        if self.quotes:
+            place = at
+            while True:
+                place = PLAIN.match(page, place).end()
+                if place == len(page):
+                    break
+                if page[place] == ">":
+                    return place
+                close = page.find(page[place], place + 1)
+                if close < 0:
+                    break
+                place = close + 1
+            self.quotes = False
+        return page.find(">", at)
+
+
+#: Items that an element of the same list ends, and the lists at which that stops. Fixed values of the HTML standard.
+ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+STOPS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 
 def blocks_of(page: str) -> list[Block]:
+    """Time grows with the page's length, however deep or broken its markup."""
     out: list[Block] = []
-    stack: list[_Open] = [_Open("", 0.0, 0.0, False, 0)]
+    root = _Open("", 0.0, 0.0, False, 0, None, 1)
+    root.box = root
+    stack, tags = _Stack(), _Tags(page)
+    stack.push(root)
     text: list[str] = []
     linked = count = at = 0
 
@@ -73,9 +134,8 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             words = "".join(text).split()
             if words:
-                top = stack[-1]
-                block = next((x.tag for x in reversed(stack) if x.tag not in INLINE), "")
-                out.append(Block(" ".join(words), len(words), linked, top.bad, top.good, block, tuple(x.node for x in stack if x.tag not in INLINE)))
+                top = stack.items[-1]
+                out.append(Block(" ".join(words), len(words), linked, top.bad, top.good, top.box.tag, top.box))
             text.clear()
         linked = 0
 
@@ -84,10 +144,10 @@ def blocks_of(page: str) -> list[Block]:
         if piece:
             piece = html_lib.unescape(piece) if "&" in piece else piece
             text.append(piece)
-            if stack[-1].link:
+            if stack.items[-1].link:
                 linked += len(piece.split())
 
-    end, search = len(page), TOKEN.search
+    end, search = len(page), START.search
     while at < end:
         m = search(page, at)
         if m is None:
@@ -95,28 +155,39 @@ def blocks_of(page: str) -> list[Block]:
             break
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        tag = m[2]
         if not tag:
+            if m[0] == "<!--":
+                close = page.find("-->", m.end())
+                at = close + 3 if close >= 0 else end
+                continue
+            close = page.find(">", m.end())
+            if close < 0:
+                add(page[m.start() :])
+                break
+            at = close + 1
             continue
-        tag, closing, rest = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        close = tags.end(m.end())
+        if close < 0:
+            add(page[m.start() :])
+            break
+        tag, closing, rest, at = tag.lower(), bool(m[1]), page[m.end() : close], close + 1
         if closing:
-            if tag in ("br", "p") and not any(x.tag == tag for x in stack):
+            i = stack.last(tag)
+            if not i:
+                if tag in ("br", "p"):
+                    flush()
+            elif tag not in INLINE:
                 flush()
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if tag not in INLINE:
-                        flush()
-                    elif any(x.tag not in INLINE for x in stack[i + 1 :]):
-                        break  # an inline end tag doesn't close the blocks opened since
-                    del stack[i:]
-                    break
+                stack.cut(i)
+            elif stack.items[i].depth == stack.items[-1].depth:  # an inline end tag doesn't close the blocks opened since
+                stack.cut(i)
             continue
         if tag in RAW:
             if tag not in ("svg", "math") or not rest.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+                found = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
+                close = page.find(">", found.end()) if found else -1
+                at = close + 1 if close >= 0 else end
             continue
         if tag == "br":
             text.append(" ")
@@ -125,19 +196,18 @@ def blocks_of(page: str) -> list[Block]:
             flush()
         if tag in VOID:
             continue
-        if tag in CLOSES_P or tag in ("dd", "dt", "tr", "td", "th", "option"):
+        if tag in CLOSES_P or tag in ENDS:
             # implied end tags: an open p, or an open item of the same list
-            own = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-            stop = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                t = stack[i].tag
-                if t in own or t == "p" and tag in CLOSES_P:
-                    del stack[i:]
-                    if not own or t in own:
-                        break
-                elif t in stop or t not in INLINE and t != "p" and not own:
-                    break
-        top = stack[-1]
+            p = stack.last("p") if tag in CLOSES_P else 0
+            if own := ENDS.get(tag):
+                stop = stack.last(*STOPS.get(tag, ()))
+                if (i := stack.last(*own)) > stop:
+                    stack.cut(i)
+                elif p > stop:
+                    stack.cut(next(x for x in stack.at["p"] if x > stop))
+            elif p and stack.items[p].depth == stack.items[-1].depth:
+                stack.cut(p)
+        top = stack.items[-1]
         bad, good = top.bad + BAD_TAGS.get(tag, 0.0), top.good + GOOD_TAGS.get(tag, 0.0)
         if tag == "header" and top.good >= 3:
             bad = top.bad  # an article's own header holds its title
@@ -156,7 +226,10 @@ def blocks_of(page: str) -> list[Block]:
                 elif any(x in GOOD_WORDS for x in names):
                     good += 1.0
         count += 1
-        stack.append(_Open(tag, bad, min(good, 4.0), top.link or tag == "a", count))
+        inline = tag in INLINE
+        x = _Open(tag, bad, min(good, 4.0), top.link or tag == "a", count, None if inline else top.box, top.depth + (not inline))
+        x.box = top.box if inline else x
+        stack.push(x)
     flush()
     return out
 
@@ -194,42 +267,95 @@ def minimum_cut(cost: list[float], edges: list[tuple[int, int, float]]) -> list[
                 if label[j] is None:
                     todo.append(j)
             near[i] = {}
-    rest = [i for i in range(n) if label[i] is None]
-    if rest:
-        # source side: content
-        left: dict[int, dict[int, float]] = {i: dict(near[i]) for i in rest} | {-1: {}, -2: {}}
-        for i in rest:
-            left[i][-1] = 0.0
-            left[i][-2] = max(0.0, -cost[i])
-            left[-1][i] = max(0.0, cost[i])
-            left[-2][i] = 0.0
-
-        def reach() -> dict[int, int]:
-            seen, queue = {-1: -1}, deque([-1])
-            while queue:
-                a = queue.popleft()
-                for b, w in left[a].items():
-                    if w > 1e-9 and b not in seen:
-                        seen[b] = a
-                        if b == -2:
-                            return seen
-                        queue.append(b)
-            return seen
-
-        while -2 in (seen := reach()):
-            path, b = [], -2
-            while b != -1:
-                path.append((seen[b], b))
-                b = seen[b]
-            flow = min(left[a][b] for a, b in path)
-            for a, b in path:
-                left[a][b] -= flow
-                left[b][a] = left[b].get(a, 0.0) + flow
-        for i in rest:
-            label[i] = i in seen
+    # what is left falls into parts that no edge joins
+    seen = [x is not None for x in label]
+    for start in range(n):
+        if seen[start]:
+            continue
+        part, seen[start] = [start], True
+        for i in part:
+            for j in near[i]:
+                if not seen[j]:
+                    seen[j] = True
+                    part.append(j)
+        for i, x in zip(part, _max_flow(part, cost, near), strict=True):
+            label[i] = x
     return [bool(x) for x in label]
 
 
+def _max_flow(part: list[int], cost: list[float], near: list[dict[int, float]]) -> list[bool]:
+    """Which of part lie on the source's side of the minimum cut; shortest augmenting paths, a level graph at a time."""
+    place = {i: k for k, i in enumerate(part)}
+    source, sink = len(part), len(part) + 1
+    to: list[int] = []
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in range(len(part) + 2)]
+
+    def edge(a: int, b: int, there: float, back: float) -> None:
+        for x, y, w in ((a, b, there), (b, a, back)):
+            out[x].append(len(to))
+            to.append(y)
+            room.append(w)
+
+    for i in part:
+        if cost[i] > 0:
+            edge(source, place[i], cost[i], 0.0)
+        elif cost[i] < 0:
+            edge(place[i], sink, -cost[i], 0.0)
+        for j, w in near[i].items():
+            if j > i:
+                edge(place[i], place[j], w, w)
+    while True:
+        level, queue = {source: 0}, deque([source])
+        while queue:
+            a = queue.popleft()
+            for e in out[a]:
+                if room[e] > 1e-9 and to[e] not in level:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if sink not in level:
+            return [k in level for k in range(len(part))]
+        turn = [0] * len(out)
+        path: list[int] = []
+        a = source
+        while True:
+            if a == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                # back to the first edge that is full
+                k = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                a = to[path[k] ^ 1]
+                del path[k:]
+                continue
+            while turn[a] < len(out[a]):
+                e = out[a][turn[a]]
+                if room[e] > 1e-9 and level.get(to[e]) == level[a] + 1:
+                    break
+                turn[a] += 1
+            if turn[a] < len(out[a]):
+                path.append(out[a][turn[a]])
+                a = to[path[-1]]
+            elif path:
+                a = to[path.pop() ^ 1]
+                turn[a] += 1
+            else:
+                break
+
+
+def _steps(a: _Open, b: _Open) -> int:
+    """Elements between two boxes by way of the innermost one around both."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
+
+
 def extract(page: str) -> str:
     """The page's main text: its content blocks, one a line."""
     blocks = blocks_of(page)
@@ -239,15 +365,9 @@ def extract(page: str) -> str:
     cost = [logit(b, has_article) for b in blocks]
     edges, last = [], {}
     for i, b in enumerate(blocks):
-        if i:
-            a, before = blocks[i - 1], b.path
-            common = 0
-            for x, y in zip(a.path, before, strict=False):
-                if x != y:
-                    break
-                common += 1
-            edges.append((i - 1, i, 0.8 / (1 + len(a.path) + len(before) - 2 * common)))
-        parent = b.path[:-1]
+        if i:  # neighbours' ways sum up to one walk through the tree
+            edges.append((i - 1, i, 0.8 / (1 + _steps(blocks[i - 1].box, b.box))))
+        parent = b.box.parent.node if b.box.parent else -1
         if parent in last and last[parent] != i - 1:
             edges.append((last[parent], i, 0.4))
         last[parent] = i
