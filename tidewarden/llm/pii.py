@@ -49,15 +49,27 @@ def _keep(kind: str):
     return lambda x: _valid(kind, x["word"])
 
 
+#: Matches whose places are summed up in a row; appending to an array copies it.
+RUN = 256
+_SPANS = "array<struct<kind:int,start:int,stop:int,word:string>>"
+
+
 def _places(matches: str, between: str, kind: int) -> Column:
-    """Code-point spans of matches, from the stretches between them."""
-    return F.expr(
-        f"""CASE WHEN size({matches}) = 0 THEN cast(array() AS array<struct<kind:int,start:int,stop:int,word:string>>) ELSE
-        aggregate(sequence(0, size({matches}) - 1), named_struct('at', 0, 'out', cast(array() AS array<struct<kind:int,start:int,stop:int,word:string>>)),
+    """Code-point spans of matches, from the stretches between them; of many, in runs of RUN."""
+
+    def run(start: str, first: str, last: str) -> str:
+        return f"""aggregate(sequence({first}, {last}), named_struct('at', {start}, 'out', cast(array() AS {_SPANS})),
           (a, i) -> named_struct('at', a.at + length({between}[i]) + length({matches}[i]),
             'out', concat(a.out, array(named_struct('kind', {kind}, 'start', a.at + length({between}[i]), 'stop', a.at + length({between}[i]) + length({matches}[i]), 'word', {matches}[i])))),
-          a -> a.out) END"""
-    )
+          a -> a.out)"""
+
+    size = f"size({matches})"
+    width = lambda c: f"aggregate(sequence({c} * {RUN}, {c} * {RUN} + {RUN - 1}), 0, (n, i) -> n + length({between}[i]) + length({matches}[i]))"
+    # where each run begins
+    begins = f"""aggregate(sequence(0, ({size} - 1) div {RUN}), named_struct('at', 0, 'out', cast(array() AS array<int>)),
+          (a, c) -> named_struct('at', a.at + if((c + 1) * {RUN} <= {size}, {width('cast(c as int)')}, 0), 'out', concat(a.out, array(a.at))), a -> a.out)"""
+    many = f"""flatten(transform({begins}, (at, c) -> {run('at', f'c * {RUN}', f'least(c * {RUN} + {RUN - 1}, {size} - 1)')}))"""
+    return F.expr(f"CASE WHEN {size} = 0 THEN cast(array() AS {_SPANS}) WHEN {size} <= {RUN} THEN {run('0', '0', f'{size} - 1')} ELSE {many} END")
 
 
 def seeds(texts: DataFrame) -> DataFrame:
