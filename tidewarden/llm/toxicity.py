@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_text, documents
+from .common import doc_text, documents, unused, written
 
 #: The most labelled rows that are used for learning.
 TRAIN_ROWS = 24_000
@@ -204,11 +204,13 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn from labelled rows that aren't held out. Without any: a model that scores 0."""
     spark = docs.sparkSession
-    labels = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    labels = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("double").alias("toxic")).where("id is not null and toxic in (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
     chosen = labels.where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = doc_text(docs)
-    sample = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["id"]).select("text", "toxic", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)).cast("int").alias("fold"))
-    # learning reads the sample's few rows twice; folds 1 to 3 make the lexicon, so that fold 0 can calibrate
+    # of rows that share a doc_id one is learned from, so that TRAIN_ROWS bounds rows too
+    each = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["id"]).groupBy("id", "toxic").agg(F.max("text").alias("text"))
+    sample = written(each.select("text", "toxic", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)).cast("int").alias("fold")), "sample")
+    # folds 1 to 3 make the lexicon, so that fold 0 can calibrate
     fit = sample.where("fold <> 0")
     size = fit.agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).first()
     model = Model()
@@ -228,7 +230,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted.
 
     Null and empty texts are scored like any other (all features 0). Rows that repeat come out
-    repeated. labels may have nulls, repeats (the larger label holds) and ids without a document.
+    repeated. labels may have nulls, repeats (the larger label holds), ids without a document, and values
+    other than 0 and 1, which teach nothing.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     out = doc_text(docs).mapInArrow(_score(shared), "doc_id long, score double")
@@ -252,10 +255,11 @@ def _append(shared, schema: pa.Schema, fields: int):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that aren't predicted toxic, with all their columns; nulls as in score."""
+    """The documents that aren't predicted toxic, with all their columns, whatever their names; nulls as in score."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    out = docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(_append(shared, to_arrow_schema(schema), len(docs.columns)), schema)
-    return out.where(F.col("__score") < threshold).drop("__score")
+    text, value = unused(docs, "__text"), unused(docs, "__score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(value, T.DoubleType())])
+    out = docs.withColumn(text, F.col("text").cast("string")).mapInArrow(_append(shared, to_arrow_schema(schema), len(docs.columns)), schema)
+    return out.where(F.col(value) < threshold).drop(value)
