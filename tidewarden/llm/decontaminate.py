@@ -7,6 +7,9 @@ bands, only bands that reach the lemma's bound are kept, and those are verified
 sides are compared as lower-case letters and digits with single spaces between; characters are UTF-8
 bytes.
 
+An item of fewer than SHORTEST characters says too little to tell a leak from chance wherever it
+stands; it is found where it is a whole line of a text.
+
 Items are held by every task, so they are taken in slices of at most SLICE characters; a larger
 benchmark costs more passes over the texts, never more memory.
 """
@@ -21,16 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_text, documents
+from .common import doc_text, documents, unused
 
 Q = 8
 WINDOW = 96
 STEP = 48
 #: Edits allowed in a window, as a share of its characters.
 EDITS = 0.08
-#: Shorter items are too short to tell a leak from chance.
+#: Shorter items are found as whole lines only.
 SHORTEST = 32
-SLICE = 4_000_000
+SLICE = 2_000_000
 _WORD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _BITS = 21
 #: Grams in a row that the scan of a text asks for.
@@ -57,10 +60,13 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], edits: float = EDITS):
         self.windows: list[bytes] = []
+        self.short: dict[bytes, list[int]] = {}
         item = []
         for key, text in items:
             data = normal(text or "")
             if len(data) < SHORTEST:
+                if data:
+                    self.short.setdefault(data, []).append(key)
                 continue
             for a in range(0, max(1, len(data) - WINDOW + STEP), STEP):
                 a = min(a, max(0, len(data) - WINDOW))
@@ -73,13 +79,20 @@ class Index:
         self.edits = np.minimum(np.floor(self.size * edits), (self.size - longest) // (longest + 1)).astype(np.int64)
         # the lemma's bound, less the grams of stretches that are too short for a run
         self.bound = np.maximum(RUN, self.size - Q + 1 - (Q + RUN - 1) * self.edits)
-        found = [(int(g), w, o + Q * i) for w, data in enumerate(self.windows) for o, gs in grams(data) for i, g in enumerate(gs)]
-        g = np.array([x[0] for x in found], np.uint64)
+        data = b"".join(self.windows)
+        g = np.zeros(max(len(data), 1), np.uint64)
+        for o, part in grams(data):
+            g[o : o + Q * len(part) : Q] = part
+        sizes = np.maximum(self.size - Q + 1, 0)
+        begin = np.cumsum(self.size) - self.size
+        window = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        place = (np.arange(len(window)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        g = g[begin[window] + place]
         order = np.argsort(g, kind="stable")
         self.gram, first = np.unique(g[order], return_index=True)
         self.first = np.append(first, len(g))
-        self.window_of = np.array([x[1] for x in found], np.int64)[order]
-        self.place = np.array([x[2] for x in found], np.int64)[order]
+        self.window_of = window[order]
+        self.place = place[order]
         self.there = np.zeros(1 << _BITS, bool)
         self.there[slot(self.gram)] = True
         self.padded = np.zeros((len(self.windows), WINDOW), np.uint8)
@@ -89,8 +102,13 @@ class Index:
     def scan(self, texts: list[str]) -> list[list[int]]:
         """The items that each text holds a window of."""
         found: list[set[int]] = [set() for _ in texts]
+        if self.short:
+            for i, text in enumerate(texts):
+                for line in text.split("\n"):
+                    if line and (hit := self.short.get(normal(line))):
+                        found[i].update(hit)
         if not self.windows:
-            return [[] for _ in texts]
+            return [sorted(x) for x in found]
         parts = [normal(t) for t in texts]
         # a border that no gram crosses: grams have no zero byte
         data = b"\0".join(parts) + b"\0"
@@ -103,7 +121,7 @@ class Index:
         runs = np.logical_and.reduce([hits[i : len(data) + i] for i in range(RUN)])
         starts = np.flatnonzero(runs)
         if not len(starts):
-            return [[] for _ in texts]
+            return [sorted(x) for x in found]
         inside = np.zeros(len(data) + RUN, bool)
         for i in range(RUN):
             inside[starts + i] = True
@@ -115,12 +133,12 @@ class Index:
         same = self.gram[k] == g
         place, k = place[same], k[same]
         if not len(place):
-            return [[] for _ in texts]
+            return [sorted(x) for x in found]
         # each gram's places in the windows
         many = self.first[k + 1] - self.first[k]
         entry = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
         place = np.repeat(place, many)
-        window = self.window_of[entry]
+        window = self.window_of[entry].astype(np.int64)
         diagonal = place - self.place[entry]
         text = np.searchsorted(ends, place, "right")
         width = self.edits[window] + 1
@@ -136,7 +154,7 @@ class Index:
         keep = count >= self.bound[pair % len(self.windows)]
         (text, window), low = np.divmod(pair[keep], len(self.windows)), low[keep] + least
         if not len(text):
-            return [[] for _ in texts]
+            return [sorted(x) for x in found]
         # a text and item need one window only: first those found word for word, then by alignment
         begin = np.concatenate(([0], ends[:-1]))[text]
         left = np.maximum(low * (self.edits[window] + 1) - self.edits[window], begin)
@@ -191,29 +209,32 @@ def _scan(shared, schema: pa.Schema, fields: int):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, name: str = "__items") -> DataFrame:
-    """docs with one more column: the sorted ids of the items whose passages the text holds."""
+    """docs with one more column, ``name``: the sorted ids of the items whose passages the text holds."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     slices = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 1) // SLICE)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumns({"__text": text, name: F.array().cast("array<long>")})
+    own = unused(docs, "__text")
+    out = docs.withColumns({own: text, name: F.array().cast("array<long>")})
     schema = T.StructType(out.schema.fields)
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).toArrow()
         shared = spark.sparkContext.broadcast(Index(list(zip(part["item_id"].to_pylist(), part["text"].to_pylist(), strict=True))))
         out = out.mapInArrow(_scan(shared, to_arrow_schema(schema), len(docs.columns)), schema)
-    return out.drop("__text")
+    return out.drop(own)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark passage, with all their columns.
 
-    Null and empty texts hold none and stay; items without text, or shorter than SHORTEST
-    characters, are never found; an empty benchmark removes nothing. Rows that repeat share a fate.
+    Null and empty texts hold none and stay; items without letters and digits are never found, those
+    shorter than SHORTEST characters as whole lines; an empty benchmark removes nothing. Rows that
+    repeat share a fate; columns pass through, whatever their names.
     """
-    return leaks(docs, benchmark).where(F.size("__items") == 0).drop("__items")
+    items = unused(docs, "__items")
+    return leaks(docs, benchmark, items).where(F.size(items) == 0).drop(items)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
