@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewarden.llm import brown_lm, common, decontaminate, exact_dedup, html_extract, jaccard_join, keyjoin, license_scan, line_dedup, packing, pii, toxicity
 
@@ -412,6 +413,53 @@ def edited_chars(rnd, text):
     return "".join(out)
 
 
+def least_edits(window, text):
+    """The fewest edits that turn some stretch of text into window."""
+    step, data = np.arange(len(text) + 1), np.frombuffer(text, np.uint8)
+    row = np.zeros(len(text) + 1, int)
+    for i, c in enumerate(window):
+        now = np.concatenate(([i + 1], np.minimum(row[:-1] + (data != c), row[1:] + 1)))
+        row = np.minimum.accumulate(now - step) + step
+    return int(row.min())
+
+
+def test_decontamination_against_all_windows():
+    """Every window within its edits is found, and no other: by edit distance over the whole text."""
+    rnd = random.Random(12)
+    items = [(k, words(rnd, n, 3000)) for k, n in enumerate((8, 14, 20, 40, 60))]
+    index = decontaminate.Index(items)
+    assert set(index.edits) >= {0, 7} or index.edits.max() >= 4
+    texts = []
+    for _ in range(60):
+        k = rnd.randrange(len(items))
+        part = list(items[k][1])
+        for _ in range(rnd.randrange(0, max(2, len(part) // 9))):
+            at = rnd.randrange(len(part))
+            part[at] = rnd.choice(["", "q", part[at] + "z"])
+        texts.append(words(rnd, rnd.randrange(30), 3000) + " " + "".join(part) + " " + words(rnd, rnd.randrange(30), 3000))
+    hits = 0
+    for text, got in zip(texts, index.scan(texts), strict=True):
+        data = decontaminate.normal(text)
+        expected = {int(index.item[w]) for w, window in enumerate(index.windows) if least_edits(window, data) <= index.edits[w]}
+        assert set(got) == expected
+        hits += bool(expected)
+    assert 10 < hits < 60
+
+
+def test_short_items_are_found_as_lines(spark):
+    bench = spark.createDataFrame([(1, "What is it?"), (2, "..."), (3, None), (4, "Tiny")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "first\n  what IS it \nlast"), (2, "what is it then"), (3, "tiny"), (4, ""), (5, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["__items"] for r in decontaminate.leaks(docs, bench).collect()} == {1: [1], 2: [], 3: [4], 4: [], 5: []}
+
+
+def test_stages_with_clashing_columns(spark):
+    bench = sf(spark, "benchmark")
+    docs = sf(spark).limit(30).selectExpr("*", "1 as __text", "2 as __items", "3 as __score")
+    assert decontaminate.decontaminate(docs, bench).columns == docs.columns
+    out = toxicity.drop_toxic(docs, sf(spark, "labels"))
+    assert out.columns == docs.columns and {tuple(r) for r in out.select("__text", "__items", "__score").collect()} == {(1, 2, 3)}
+
+
 def test_decontamination_slices(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE", 300)
     bench = sf(spark, "benchmark")
@@ -568,6 +616,14 @@ def test_pii(spark, odd, empty):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_pii_places_of_very_many_matches(spark):
+    text = "é " + ", ".join(f"mail{i}@host{i % 7}.org and 10.0.{i % 256}.{i % 99}" for i in range(5000))
+    r = pii.find(spark.createDataFrame([(1, text), (2, "a@b.cd")], "doc_id long, text string")).where("doc_id = 1").first()
+    email = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"mail\d+@host\d\.org", text)]
+    ip = [f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"10\.0\.\d+\.\d+", text)]
+    assert (r["n_email"], r["n_ip"]) == (5000, 5000) and r["base_sha256"] == hashlib.sha256(",".join(email + ip).encode()).hexdigest()
+
+
 def test_pii_discovers_by_context(spark):
     docs = [(i, f"my card number {'4111 1111 1111 1111'} ok. then contact me at a{i}@mail.com bye") for i in range(8)] + [(i, f"please contact me at handle{i}x now") for i in range(8, 12)]
     out = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string"), support=4, sure=0.5).collect()}
@@ -620,6 +676,16 @@ def test_toxicity(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(awkward())
 
 
+def test_odd_labels_teach_nothing(spark):
+    docs, labels = sf(spark), sf(spark, "labels").select("doc_id", F.col("toxic").cast("long").alias("toxic"))
+    more = spark.createDataFrame([(1, 2), (2, -1), (None, 1), (3, None), (10**9, 1)], "doc_id long, toxic long")
+    twice = docs.unionByName(docs)
+    plain = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    odd = {r["doc_id"]: r["score"] for r in toxicity.score(twice, labels.unionByName(more)).collect()}
+    assert odd == plain
+    assert {r["score"] for r in toxicity.score(docs, more).collect()} == {0.0}
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(1)
     raw = rng.normal(size=400)
@@ -646,6 +712,16 @@ def cut_value(cost, edges, labels):
     return sum(max(0, c) if not x else max(0, -c) for c, x in zip(cost, labels)) + sum(w for a, b, w in edges if labels[a] != labels[b])
 
 
+def test_html_takes_time_in_proportion():
+    """Broken and deep pages of a megabyte."""
+    import time
+
+    pages = ['<a "' * 250_000, "<a '\"><p \"x>" * 80_000, "<div><p>word " * 80_000, "<b>" * 80_000 + "<div>x</div>" * 80_000, "<b>" + "<div>" * 80_000 + "</b>" * 80_000, "<ul>" + "<div>" * 50_000 + "<li>x</li>" * 80_000, "<p>a</p>" * 120_000, "<script>" + "</script " * 100_000, "<" * 500_000]
+    began = time.process_time()
+    out = [html_extract.extract(p) for p in pages]
+    assert time.process_time() - began < 30 and out[-1] == "<" * 500_000
+
+
 def test_minimum_cut_is_minimal():
     rnd = random.Random(5)
     for _ in range(60):
