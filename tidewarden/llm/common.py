@@ -69,10 +69,6 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Nothing is kept by the module any more; see ``noted``."""
-
-
 def unused(df: DataFrame, name: str) -> str:
     """name, or with as many underscores after it as make it no column of df."""
     taken = {c.lower() for c in df.columns}
@@ -283,3 +279,7 @@ def connected_components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFram
         mark = now
     roots = state.select(F.col("v").alias("node")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+
+
+#: DuckDB: a document's text with A-Z lower-cased.
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import doc_text, documents
+from .common import LOWER_SQL, doc_text, documents
 
 #: Phrases and labels that are given.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -207,3 +207,16 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that SQL can express."""
+    return query(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE_SQL = rf"""WITH t AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, [('cc-by', ['cc', 'by']), ('gpl', ['general', 'public', 'license']), ('reserved', ['all', 'rights', 'reserved'])] AS f, w FROM t),
+h AS (SELECT doc_id, n, list_filter(range(1, n + 1), lambda i: w[i:i + 1] = ['cc', 'by']) AS a, list_filter(range(1, n + 1), lambda i: w[i:i + 2] = ['general', 'public', 'license']) AS b, list_filter(range(1, n + 1), lambda i: w[i:i + 2] = ['all', 'rights', 'reserved']) AS c FROM p)
+SELECT doc_id, n AS n_words, CAST(len(a) + len(b) + len(c) AS BIGINT) AS n_base, list_min(a || b || c) - 1 AS first_word, list_max(a || b || c) - 1 AS last_word,
+  concat_ws(',', CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END) AS base_labels FROM h
+"""

@@ -148,3 +148,37 @@ def find(docs: DataFrame, support: int = SUPPORT, sure: float = SURE) -> DataFra
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(documents(spark, sf_dir))
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that SQL can express."""
+    return query(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+#: The plain patterns, and what their matches x must be, for DuckDB.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_VALID = {
+    "email": "true",
+    "ip": "list_bool_and(list_transform(string_split(x, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND CAST('0' || right(ltrim(p, '0'), 3) AS INTEGER) <= 255))",
+    "card": f"length({_DIGITS}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({_DIGITS}[-i] AS INTEGER) ELSE CAST({_DIGITS}[-i] AS INTEGER) * 2 - CASE WHEN {_DIGITS}[-i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0",
+    "phone": f"length({_DIGITS}) BETWEEN 8 AND 15",
+}
+
+
+def _spans_sql(kind: str) -> str:
+    text, i = "coalesce(text, '')", KINDS.index(kind)
+    return f"""SELECT doc_id, {i} AS kind, '{kind}' AS name, s, s + length(x) AS z FROM (
+  SELECT doc_id, m[i] AS x, CAST(list_sum(list_transform(b[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS s
+  FROM (SELECT doc_id, m, b, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all({text}, '{_PLAIN[kind]}') AS m, string_split_regex({text}, '{_PLAIN[kind]}') AS b FROM documents))) WHERE {_VALID[kind]}"""
+
+
+BASE_SQL = f"""WITH v AS ({" UNION ALL ".join(map(_spans_sql, KINDS))})
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+  sha256(coalesce(string_agg(name || ':' || s || ':' || z, ',' ORDER BY kind, s), '')) AS base_sha256 FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY d.doc_id
+"""

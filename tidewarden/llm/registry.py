@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
-import importlib
-
-QUERIES = {
-    "op1_exact_dedup": "exact_dedup",
-    "op2_line_dedup": "line_dedup",
-    "op3_jaccard_join": "jaccard_join",
-    "op4_packing": "packing",
-    "op5_license_scan": "license_scan",
-    "op6_decontaminate": "decontaminate",
-    "op7_brown_lm": "brown_lm",
-    "op8_pii": "pii",
-    "op9_toxicity": "toxicity",
-    "op10_html_extract": "html_extract",
+from . import brown_lm, decontaminate, exact_dedup, html_extract, jaccard_join, license_scan, line_dedup, packing, pii, toxicity
+
+OPERATORS = {
+    "op1_exact_dedup": exact_dedup,
+    "op2_line_dedup": line_dedup,
+    "op3_jaccard_join": jaccard_join,
+    "op4_packing": packing,
+    "op5_license_scan": license_scan,
+    "op6_decontaminate": decontaminate,
+    "op7_brown_lm": brown_lm,
+    "op8_pii": pii,
+    "op9_toxicity": toxicity,
+    "op10_html_extract": html_extract,
 }
-
-
-def _call(module: str):
-    def run(spark, sf_dir):
-        return importlib.import_module(f"{__package__}.{module}").query(spark, sf_dir)
-
-    return run
+#: The columns of operators 5, 7 and 8 that SQL can express, as queries of their own.
+BASE = {"license_scan_base": license_scan, "brown_lm_base": brown_lm, "pii_base": pii}
 
 
 def queries() -> dict:
-    return {name: _call(module) for name, module in QUERIES.items()}
+    return {name: module.query for name, module in OPERATORS.items()} | {name: module.base_query for name, module in BASE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), "SQL", None) for name, module in QUERIES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    found = {name: module.SQL for name, module in OPERATORS.items() if hasattr(module, "SQL")}
+    return found | {name: module.BASE_SQL for name, module in BASE.items()}
