@@ -12,9 +12,12 @@ BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; where that is unset, a temporary folder on a local master, and on
+    a cluster one beside the warehouse's tables, which all machines see."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"{tempfile.gettempdir()}/tidewarden-{uuid.uuid4().hex}"
+        root = tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        found = f"{root}/tidewarden-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterable
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.artifacts import load_artifact, save_artifact
 from ..functions.tables import small
 from .ingest import contains_any
 
@@ -65,6 +67,20 @@ def update_baselines(seen: DataFrame, arriving: DataFrame) -> tuple[DataFrame, D
     return seen.unionByName(new), new
 
 
+def update_many(seen: DataFrame, arriving: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(observations now, baselines by entity, how many observations were new)."""
+    now, new = update_baselines(seen, arriving)
+    return now, baselines(now).orderBy("entity_id"), new.count()
+
+
+def register(known: DataFrame | None, baseline: DataFrame, entity_id: str) -> DataFrame:
+    """known with the one baseline of entity_id added or replaced."""
+    ids = [r["entity_id"] for r in baseline.select("entity_id").limit(2).collect()]
+    if ids != [entity_id]:
+        raise ValueError(f"the baseline is of {ids}, not of {entity_id}")
+    return baseline if known is None else known.where(F.col("entity_id") != entity_id).unionByName(baseline)
+
+
 def z_scores(features: Column, means: Column, deviations: Column) -> Column:
     """Structs of the features that the baseline knows, by falling |z|, then by name."""
     names = F.array_sort(F.array_intersect(F.map_keys(features), F.map_keys(means)))
@@ -164,6 +180,28 @@ class IsolationForest:
         """Above 0: anomalous."""
         return self.raw(x) - self.offset
 
+    def metadata(self, entity_id: str, names: list[str], count: int) -> dict:
+        return {"detector": "isolation_forest", "entity_id": entity_id, "feature_names": names, "observation_count": count, "trees": self.trees, "contamination": self.contamination, "seed": self.seed}
+
+    def save(self, path: str, entity_id: str, names: list[str], count: int) -> None:
+        """The fitted forest as a checksummed artifact."""
+        if not hasattr(self, "forest"):
+            raise RuntimeError("fit the forest before saving it")
+        content = {"sample": self.sample, "n": self.n, "offset": self.offset, "forest": self.forest, "metadata": self.metadata(entity_id, names, count)}
+        save_artifact(path, json.loads(json.dumps(content, default=float)), artifact="isolation_forest")
+
+    @classmethod
+    def load(cls, path: str, entity_id: str | None = None) -> tuple[IsolationForest, dict]:
+        """(forest, metadata); the checksum must hold, and the entity be the one asked for."""
+        content = load_artifact(path)
+        facts = content["metadata"]
+        if entity_id is not None and facts["entity_id"] != entity_id:
+            raise ValueError(f"the forest is of {facts['entity_id']}, not of {entity_id}")
+        out = cls(facts["trees"], content["sample"], facts["contamination"], facts["seed"])
+        node = lambda x: (x[0], x[1], node(x[2]), node(x[3])) if isinstance(x, list) else x
+        out.n, out.offset, out.forest = content["n"], content["offset"], [node(x) for x in content["forest"]]
+        return out, facts
+
 
 def isolation_scores(train: DataFrame, vectors: DataFrame, trees: int = 100, contamination: float = 0.05, seed: int = 42) -> DataFrame:
     """Per entity a forest over its training vectors; entities with fewer than two are left out.

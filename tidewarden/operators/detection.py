@@ -58,10 +58,28 @@ def rule_signals(matches: DataFrame) -> DataFrame:
     )
 
 
+def facts(signals: DataFrame, prefix: str = "tidewarden:incident:") -> DataFrame:
+    """What an incident is without its lists: bounded aggregates alone, combined before the shuffle.
+
+    A fingerprint may hold any share of all signals.
+    """
+    order = F.struct("arrival_seq", "rule_index", "rule_id")
+    out = signals.groupBy("fingerprint").agg(F.min_by("first_at", order).alias("first_seen"), F.max("last_at").alias("last_seen"), severity_name(F.max(severity_rank(F.col("severity")))).alias("severity"), F.count("*").alias("match_count"))
+    return out.select(incident_id(F.col("fingerprint"), prefix).alias("incident_id"), "fingerprint", F.lit("open").alias("status"), "first_seen", "last_seen", "severity", "match_count")
+
+
+def links(signals: DataFrame, prefix: str = "tidewarden:incident:") -> DataFrame:
+    """An incident's events, a row each: incident_id, event_id, arrival_seq of the first signal that has it. For
+    incidents too large for the lists that ``fold`` makes."""
+    each = signals.select("fingerprint", "arrival_seq", F.explode("event_ids").alias("event_id")).groupBy("fingerprint", "event_id").agg(F.min("arrival_seq").alias("arrival_seq"))
+    return each.select(incident_id(F.col("fingerprint"), prefix).alias("incident_id"), "event_id", "arrival_seq")
+
+
 def fold(signals: DataFrame, prefix: str = "tidewarden:incident:") -> DataFrame:
     """Signals of one fingerprint as an incident.
 
-    first_seen is that of the first arrival, last_seen the largest; lists keep arrival order.
+    first_seen is that of the first arrival, last_seen the largest; lists keep arrival order. The lists
+    hold all of an incident's events in one row; ``facts`` and ``links`` have the same without such a row.
     """
     order = F.struct("arrival_seq", "rule_index", "rule_id")
     listed = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(c).alias("v")))), lambda x: x["v"])))

@@ -77,6 +77,23 @@ def latest_edges(observed: DataFrame) -> DataFrame:
     return observed.groupBy("edge_id").agg(F.max_by(F.struct(*columns), "arrival_seq").alias("e")).select("edge_id", "e.*")
 
 
+def node(nodes: DataFrame, node_id: str) -> DataFrame:
+    """The node of that id; no row if there is none."""
+    return nodes.where(F.col("node_id") == node_id)
+
+
+def edge(edges: DataFrame, edge_id: str) -> DataFrame:
+    return edges.where(F.col("edge_id") == edge_id)
+
+
+def ingest(known: DataFrame, events: DataFrame) -> DataFrame:
+    """event_id, is_new of arriving events: False for a replay, of a known event or of an earlier arrival."""
+    first = F.row_number().over(Window.partitionBy("event_id").orderBy("arrival_seq"))
+    seen = known.select(F.col("event_id").alias("__seen")).distinct()
+    out = events.select("arrival_seq", "event_id").withColumn("__n", first).join(seen, F.col("event_id") == F.col("__seen"), "left")
+    return out.select("arrival_seq", "event_id", (F.col("__seen").isNull() & (F.col("__n") == 1)).alias("is_new"))
+
+
 def snapshot_id(nodes: DataFrame, prefix: str = "tidewarden:graph:") -> DataFrame:
     """UUID 5 of the sorted node ids; one text of all ids, as the identifier is defined."""
     return nodes.agg(uuid5(F.concat(F.lit(prefix), F.array_join(F.array_sort(F.collect_set("node_id")), ":"))).alias("snapshot_id"))

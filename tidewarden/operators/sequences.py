@@ -109,11 +109,19 @@ def running_clock(events: DataFrame, block: int = 100_000) -> DataFrame:
     return df.withColumn("__inner", inner).join(before, "__block").withColumn("__clock", F.greatest("__inner", "__before")).drop("__block", "__inner", "__before")
 
 
+def is_ordered(events: DataFrame) -> bool:
+    """Is time never falling with arrival, and is every event id there once? Then ``in_order`` is exact."""
+    clock = running_clock(events)
+    row = clock.agg(F.count_if(F.unix_micros("timestamp") < F.col("__clock")).alias("late"), F.count("*").alias("n")).first()
+    return row["late"] == 0 and events.groupBy("event_id").count().where("count > 1").isEmpty()
+
+
 class Machine:
-    """One actor's partial matches over all signatures."""
+    """One actor's partial matches over all signatures; ``ends`` notes (start_seq, deadline, end_seq, reason) of those
+    that ended, if it is a list."""
 
-    def __init__(self, signatures: list[tuple[str, int, list[str], int, int, str]], bound: int, partials: list | None = None):
-        self.signatures, self.bound = signatures, bound
+    def __init__(self, signatures: list[tuple[str, int, list[str], int, int, str]], bound: int, partials: list | None = None, ends: list | None = None):
+        self.signatures, self.bound, self.ends = signatures, bound, ends
         #: (signature index, number of steps done, start in micros, start_seq, evidence)
         self.partials: list[list] = partials or []
 
@@ -130,11 +138,13 @@ class Machine:
                     continue
                 # expired by the clock, or by this event
                 if watermark - p[2] > window or ts - p[2] > window:
+                    self.end(p, None if watermark - p[2] > window else seq, "expired")
                     continue
                 if p[1] in hits.get(k, ()):
                     p = [k, p[1] + 1, p[2], p[3], [*p[4], (steps[p[1]], *event)]]
                     if p[1] == len(steps):
                         out.append((name, version, [e[1] for e in p[4]], p[2], ts, seq, p[3], p[4], severity))
+                        self.end(p, seq, "completed")
                         continue
                 kept.append(p)
             if 0 in hits.get(k, ()):
@@ -143,9 +153,16 @@ class Machine:
         if len(self.partials) > self.bound:
             # the newest stay; of equals those that came first
             order = sorted(range(len(self.partials)), key=lambda i: (-self.partials[i][2], i))[: self.bound]
+            for i in set(range(len(self.partials))).difference(order):
+                self.end(self.partials[i], seq, "bound")
             self.partials = [self.partials[i] for i in sorted(order)]
         return out
 
+    def end(self, p: list, seq: int | None, reason: str) -> None:
+        """seq None: the clock ended it, at the first arrival past its deadline."""
+        if self.ends is not None:
+            self.ends.append((p[3], p[2] + self.signatures[p[0]][3] + self.signatures[p[0]][4], seq, reason))
+
 
 def compact(signatures: list[Signature]) -> list[tuple[str, int, list[str], int, int, str]]:
     return [(s.signature_id, s.version, [x.step_id for x in s.steps], s.window_seconds * 1_000_000, s.allowed_lateness_seconds * 1_000_000, s.severity) for s in signatures]
@@ -196,12 +213,61 @@ def replay(events: DataFrame, signatures, max_active_per_actor: int = 1000) -> D
     return ready.groupBy("actor_id").applyInPandas(run, schemas.SEQUENCE_MATCHES)
 
 
-def counters(events: DataFrame, signatures) -> DataFrame:
-    """Processed, duplicate and late events, and completed matches."""
+def lifetimes(unique: DataFrame, found: list[Signature], max_active_per_actor: int = 1000) -> DataFrame:
+    """start_seq, end_seq, reason of every partial match: completed, expired (by an event of its actor), evicted (by
+    the clock of all actors) or bound; end_seq is null for those still active. unique carries __clock."""
+    plain = compact(found)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        machine = Machine(plain, max_active_per_actor, ends=[])
+        feed(machine, rows)
+        for p in machine.partials:
+            machine.end(p, None, "expired")
+        return pd.DataFrame(machine.ends, columns=["start_seq", "deadline", "end_seq", "reason"]).astype({"end_seq": "Int64"})
+
+    raw = stepped(unique, found).groupBy("actor_id").applyInPandas(run, "start_seq long, deadline long, end_seq long, reason string")
+    own = raw.where("end_seq is not null").select("start_seq", "end_seq", "reason")
+    return own.unionByName(_evicted(raw.where("end_seq is null"), unique))
+
+
+def _evicted(waiting: DataFrame, unique: DataFrame, block: int = 3_600_000_000) -> DataFrame:
+    """When the clock passes each deadline: an as-of join in blocks of time, so that no task sees all rows."""
+    ticks = unique.groupBy(F.col("__clock").alias("at")).agg(F.min("arrival_seq").alias("seq")).withColumn("block", F.floor(F.col("at") / block))
+    firsts = ticks.groupBy("block").agg(F.min("seq").alias("seq"))  # a row for each block of time
+    after = F.min("seq").over(Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing))
+    later = firsts.select("block", after.alias("later"))
+    asked = waiting.select("start_seq", F.col("deadline").alias("at"), F.lit(None).cast("long").alias("seq"), F.floor(F.col("deadline") / block).alias("block"))
+    both = ticks.select(F.lit(None).cast("long").alias("start_seq"), "at", "seq", "block").unionByName(asked)
+    within = F.min("seq").over(Window.partitionBy("block").orderBy("at").rangeBetween(1, Window.unboundedFollowing))
+    hit = both.withColumn("within", within).where("start_seq is not null")
+    # blocks without a tick have no row of their own: the next block that has one
+    known = later.select("block", "later", F.lit(True).alias("here"))
+    gaps = hit.join(known, "block", "left")
+    missing = gaps.where("within is null and here is null").select("block").distinct()
+    nearest = missing.unionByName(firsts.select("block")).distinct().join(firsts, "block", "left").select("block", F.min("seq").over(Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)).alias("next"))
+    out = gaps.join(nearest, "block", "left").withColumn("end_seq", F.coalesce("within", "later", "next"))
+    return out.select("start_seq", "end_seq", F.when(F.col("end_seq").isNull(), "active").otherwise("evicted").alias("reason"))
+
+
+def peak_active(lives: DataFrame, block: int = 100_000) -> DataFrame:
+    """The most partial matches that are active after any one arrival: prefix sums in two levels."""
+    steps = lives.select(F.explode(F.array(F.struct(F.col("start_seq").alias("seq"), F.lit(1).alias("d")), F.struct(F.col("end_seq").alias("seq"), F.lit(-1).alias("d")))).alias("x")).select("x.*").where("seq is not null")
+    net = steps.groupBy("seq").agg(F.sum("d").alias("d")).withColumn("block", F.floor(F.col("seq") / block))
+    inner = net.withColumn("run", F.sum("d").over(Window.partitionBy("block").orderBy("seq"))).groupBy("block").agg(F.sum("d").alias("d"), F.max("run").alias("top"))
+    before = F.coalesce(F.sum("d").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block
+    return inner.withColumn("peak", before + F.col("top")).agg(F.coalesce(F.greatest(F.max("peak"), F.lit(0)), F.lit(0)).alias("peak"))
+
+
+def counters(events: DataFrame, signatures, max_active_per_actor: int = 1000) -> DataFrame:
+    """Processed, duplicate and late events; completed, evicted, still active and at most active partial matches; and the
+    largest event time, in micros. An event is late if it is for any signature."""
     found = enabled_of(signatures)
     first = Window.partitionBy("event_id").orderBy("arrival_seq")
     marked = events.withColumn("__n", F.row_number().over(first))
     unique = running_clock(marked.where("__n = 1").drop("__n"))
     lateness = min((s.allowed_lateness_seconds for s in found), default=0)
-    late = unique.agg(F.count("*").alias("processed"), F.count_if(F.unix_micros("timestamp") < F.col("__clock") - lateness * 1_000_000).alias("late"))
-    return late.crossJoin(marked.agg(F.count_if(F.col("__n") > 1).alias("duplicates"))).crossJoin(replay(events, found).agg(F.count("*").alias("completed")))
+    late = F.count_if(F.unix_micros("timestamp") < F.col("__clock") - lateness * 1_000_000) if found else F.lit(0).cast("long")
+    counts = unique.agg(F.count("*").alias("processed"), late.alias("late"), F.max(F.unix_micros("timestamp")).alias("watermark"))
+    lives = lifetimes(unique, found, max_active_per_actor)
+    ends = lives.agg(*(F.count_if(F.col("reason") == r).alias(n) for r, n in (("completed", "completed"), ("evicted", "evicted"), ("active", "active"))))
+    return counts.crossJoin(marked.agg(F.count_if(F.col("__n") > 1).alias("duplicates"))).crossJoin(ends).crossJoin(peak_active(lives))  # a row each

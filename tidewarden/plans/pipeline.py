@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from ..operators import behavior, detection, investigate, risk, sequences
 from ..rules import load_rules
+from ..sources import sinks
 from ..sources.sinks import IncidentStore
 
 ROLES = {"investigator": 0, "operator": 1, "admin": 2}
 
 
-def build_pipeline(rules=None, signatures=None, anomaly_scorer: Callable[[DataFrame], DataFrame] | None = None, ordered: bool = True, prefix: str = "tidewarden:incident:") -> Callable[[DataFrame], DataFrame]:
-    """events -> incidents: rules, then anomalies, then sequences, folded once."""
+def build_pipeline(rules=None, signatures=None, anomaly_scorer: Callable[[DataFrame], DataFrame] | None = None, ordered: bool | None = None, prefix: str = "tidewarden:incident:") -> Callable[[DataFrame], DataFrame]:
+    """events -> incidents: rules, then anomalies, then sequences, folded once.
+
+    ordered: whether arrival follows event time and ids don't repeat; None looks, by one more scan, and
+    takes the exact machine if not.
+    """
     rules = load_rules() if rules is None else rules
     signatures = sequences.load_sequences() if signatures is None else signatures
 
@@ -25,7 +30,8 @@ def build_pipeline(rules=None, signatures=None, anomaly_scorer: Callable[[DataFr
         matches = detection.evaluate(events, rules)
         if anomaly_scorer is not None:
             matches = matches.unionByName(detection.anomaly_matches(events, anomaly_scorer(events)))
-        found = (sequences.in_order if ordered else sequences.replay)(events, signatures)
+        look_ahead = sequences.is_ordered(events) if ordered is None else ordered
+        found = (sequences.in_order if look_ahead else sequences.replay)(events, signatures)
         return detection.incidents(matches, found, prefix)
 
     return run
@@ -76,6 +82,11 @@ class Service:
     def ready(self) -> dict:
         return {"status": "ready" if self.store.version() else "degraded"}
 
+    def metrics(self, **counted: float) -> str:
+        """The metrics route: what the store holds, and the counters that are given (see sources.sinks)."""
+        held = self.store.all().count() if self.store.version() else 0
+        return sinks.prometheus({"incidents": held, **counted}, gauges=sinks.GAUGES | {"incidents"})
+
     def list_incidents(self, key: str | None = None) -> dict:
         self.require(key, "investigator")
         items = self.store.all()
@@ -96,12 +107,17 @@ class Service:
             raise ValueError("the assessment names another incident")
         out = detection.apply_risk(found.drop("risk_audit", "risk_score", "risk_band"), audits)
         self.store.upsert(out)
-        return out
+        return self.store.get(fingerprint)
 
     def investigate(self, requests: DataFrame, evidence: DataFrame, key: str | None = None) -> DataFrame:
         self.require(key, "investigator")
         return investigate.investigate(requests, evidence)
 
+    def register(self, known: DataFrame, entity_id: str, key: str | None = None) -> None:
+        """Add or replace one entity's baseline; it must be that entity's."""
+        self.require(key, "admin")
+        self.baselines = behavior.register(self.baselines, known, entity_id)
+
     def score(self, vectors: DataFrame, known: DataFrame | None = None, threshold: float = 3.0) -> DataFrame:
         known = self.baselines if known is None else known
         if known is None:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass
-from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.artifacts import load_artifact
 from ..operators.ingest import severity_of
 
 
@@ -70,16 +68,13 @@ def labeled_fixture(spark: SparkSession, path: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, path: str, request_id: str = "request") -> DataFrame:
-    return spark.read.schema("reference_type string, reference_id string, source string").json(path, multiLine=True).select(F.lit(request_id).alias("request_id"), "*")
-
-
-def load_artifact(path: str | Path) -> dict:
-    """A JSON artifact whose manifest (path + .manifest.json) holds its SHA-256."""
-    data = Path(path).read_bytes()
-    manifest = json.loads(Path(f"{path}.manifest.json").read_text())
-    if hashlib.sha256(data).hexdigest() != manifest["sha256"]:
-        raise ValueError(f"checksum of {path} doesn't match its manifest")
-    return json.loads(data)
+    """Evidence references from a JSON array of objects; anything else, or a reference without its fields, fails."""
+    whole = spark.read.text(path, wholetext=True)
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    checked = F.when(F.coalesce(kind.startswith("ARRAY"), F.lit(False)), F.col("value")).otherwise(F.raise_error(F.lit(f"{path}: not a JSON array")))
+    each = whole.select(F.explode(F.from_json(checked, "array<struct<reference_type:string,reference_id:string,source:string>>")).alias("x")).select("x.*")
+    need = lambda c: F.coalesce(c, F.raise_error(F.lit(f"{path}: a reference without {c}"))).alias(c)
+    return each.select(F.lit(request_id).alias("request_id"), need("reference_type"), need("reference_id"), "source")
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import uuid
 from dataclasses import dataclass, field
@@ -12,6 +11,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.artifacts import save_artifact
+
 
 class Publisher(Protocol):
     def publish(self, events: DataFrame) -> None: ...
@@ -49,7 +50,12 @@ class KafkaPublisher:
 
 
 class IncidentStore:
-    """Incidents by fingerprint in a shared folder; an upsert writes a new version and then points to it."""
+    """Incidents by fingerprint in a shared folder.
+
+    An upsert writes a whole new version and then commits it: a commit is a small file, named by its
+    number and created only if there is none, so of two writers one wins and the other merges again.
+    The version before stays for those who still read it; older ones go.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -58,23 +64,53 @@ class IncidentStore:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def version(self) -> str | None:
-        fs, folder = self._fs(self.path)
-        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
-        done = [n for n in names if n.startswith("v") and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])]
-        return f"{self.path}/{max(done)}" if done else None
+    def _commits(self) -> list[int]:
+        fs, folder = self._fs(f"{self.path}/_commits")
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(folder) if x.getLen()) if fs.exists(folder) else []
 
-    def upsert(self, incidents: DataFrame) -> None:
-        now = self.version()
-        number = int(now.rsplit("/v", 1)[1].split("-")[0]) + 1 if now else 0
-        out = incidents
-        if now:
-            old = self.spark.read.parquet(now)
-            out = incidents.unionByName(old.join(incidents.select("fingerprint"), "fingerprint", "left_anti"), allowMissingColumns=True)
-        out.write.parquet(f"{self.path}/v{number:08d}-{uuid.uuid4().hex[:8]}")
-        if now:
-            fs, p = self._fs(now)
+    def _folder(self, number: int) -> str:
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+        fs, p = self._fs(f"{self.path}/_commits/{number:08d}")
+        file = fs.open(p)
+        try:
+            return f"{self.path}/{text.toString(file, 'UTF-8')}"
+        finally:
+            file.close()
+
+    def version(self) -> str | None:
+        commits = self._commits()
+        return self._folder(commits[-1]) if commits else None
+
+    def _commit(self, number: int, name: str) -> bool:
+        fs, p = self._fs(f"{self.path}/_commits/{number:08d}")
+        try:
+            file = fs.create(p, False)
+        except Exception as e:  # py4j wraps the JVM's exception
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        file.write(bytearray(name.encode()))
+        file.close()
+        return True
+
+    def upsert(self, incidents: DataFrame, attempts: int = 10) -> None:
+        for _ in range(attempts):
+            commits = self._commits()
+            number = commits[-1] + 1 if commits else 0
+            out, name = incidents, f"v{number:08d}-{uuid.uuid4().hex[:8]}"
+            if commits:
+                old = self.spark.read.parquet(self._folder(commits[-1]))
+                out = incidents.unionByName(old.join(incidents.select("fingerprint"), "fingerprint", "left_anti"), allowMissingColumns=True)
+            out.write.parquet(f"{self.path}/{name}")
+            if self._commit(number, name):
+                for old_number in commits[:-1]:
+                    fs, p = self._fs(self._folder(old_number))
+                    fs.delete(p, True)
+                    fs.delete(self._fs(f"{self.path}/_commits/{old_number:08d}")[1], False)
+                return
+            fs, p = self._fs(f"{self.path}/{name}")
             fs.delete(p, True)
+        raise RuntimeError("other writers kept winning")
 
     def all(self) -> DataFrame:
         now = self.version()
@@ -83,14 +119,10 @@ class IncidentStore:
         return self.spark.read.parquet(now).orderBy("fingerprint")
 
     def get(self, fingerprint: str) -> DataFrame:
-        return self.spark.read.parquet(self.version()).where(F.col("fingerprint") == fingerprint)
-
-
-def save_artifact(path: str | Path, content: dict, **facts) -> None:
-    """Sorted, indented JSON with a newline, and a manifest with its SHA-256."""
-    data = (json.dumps(content, indent=2, sort_keys=True, default=str) + "\n").encode()
-    Path(path).write_bytes(data)
-    Path(f"{path}.manifest.json").write_text(json.dumps({"sha256": hashlib.sha256(data).hexdigest(), **facts}, indent=2, sort_keys=True) + "\n")
+        now = self.version()
+        if now is None:
+            raise LookupError("the store is empty")
+        return self.spark.read.parquet(now).where(F.col("fingerprint") == fingerprint)
 
 
 def report(path: str | None, content: dict) -> str:
@@ -109,14 +141,57 @@ def prometheus(counters: dict[str, float], prefix: str = "tidewarden", gauges: f
     return "\n".join(dict.fromkeys(lines)) + "\n"
 
 
-def anomaly_metrics(scores: DataFrame, by: str | None = None) -> dict[str, float]:
+def _latency(requests: float, seconds: float | None) -> dict[str, float]:
+    """The sum of latencies and their average, if the time taken is known."""
+    if seconds is None:
+        return {}
+    return {"latency_ms_sum": seconds * 1000, "latency_ms_average": seconds * 1000 / requests if requests else 0.0}
+
+
+def anomaly_metrics(scores: DataFrame, by: str | None = None, seconds: float | None = None) -> dict[str, float]:
+    """Counters of a scoring run; ``by`` names the column of the model, one counter each."""
     row = scores.agg(F.count("*").alias("n"), F.count_if("is_anomalous").alias("a")).first()
     out = {"score_requests_total": row["n"], "anomalous_requests_total": row["a"]}
+    out |= {f"score_{k}": v for k, v in _latency(row["n"], seconds).items()}
     if by:
-        out |= {f'score_requests_by_model_total{{model="{r[by]}"}}': r["count"] for r in scores.groupBy(by).count().orderBy(by).collect()}
+        out |= {f'score_requests_by_model_total{{model="{r[by]}"}}': r["count"] for r in scores.groupBy(by).count().orderBy(by).collect()}  # a row for each model
     return out
 
 
-def sequence_metrics(counts: DataFrame) -> dict[str, float]:
+def sequence_metrics(counts: DataFrame, seconds: float | None = None) -> dict[str, float]:
+    """Counters of ``sequences.counters``."""
     r = counts.first()
-    return {"events_processed_total": r["processed"], "duplicate_events_total": r["duplicates"], "late_events_total": r["late"], "matches_completed_total": r["completed"]}
+    out = {"events_processed_total": r["processed"], "duplicate_events_total": r["duplicates"], "late_events_total": r["late"], "matches_completed_total": r["completed"]}
+    out |= {"states_evicted_total": r["evicted"], "active_states": r["active"], "peak_active_states": r["peak"]}
+    return out | {f"sequence_{k}": v for k, v in _latency(r["processed"], seconds).items()}
+
+
+#: Names whose values may fall.
+GAUGES = frozenset(["active_states", "peak_active_states", "sequence_latency_ms_average", "score_latency_ms_average", "provider_latency_ms_average"])
+
+
+@dataclass
+class ProviderMetrics:
+    """Counters of provider calls."""
+
+    requests: int = 0
+    successes: int = 0
+    failures: int = 0
+    retries: int = 0
+    seconds: float = 0.0
+
+    def observe(self, ok: bool, seconds: float, retries: int = 0) -> None:
+        if seconds < 0 or retries < 0:
+            raise ValueError("metrics can't be negative")
+        self.requests += 1
+        self.successes += ok
+        self.failures += not ok
+        self.retries += retries
+        self.seconds += seconds
+
+    def values(self) -> dict[str, float]:
+        out = {f"provider_{k}_total": getattr(self, k) for k in ("requests", "successes", "failures", "retries")}
+        return out | {f"provider_{k}": v for k, v in _latency(self.requests, self.seconds).items()}
+
+
+__all__ = ["GAUGES", "IncidentStore", "KafkaPublisher", "ProviderMetrics", "Publisher", "ViewPublisher", "anomaly_metrics", "kafka_records", "prometheus", "report", "save_artifact", "sequence_metrics"]

@@ -48,29 +48,56 @@ def match_stream(events: DataFrame, signatures, max_active_per_actor: int = 1000
 class StampedRunner:
     """The exact machine over micro-batches: for ``foreachBatch``.
 
-    Each batch is stamped with the running clock of all events so far; partial matches, seen ids and
-    the clock are kept as tables in the shared folder, one version a batch, so a batch that is run
-    again after a failure starts from the same state.
+    Each batch is stamped with the running clock of all events so far. Partial matches and the clock are
+    kept as tables in the shared folder, one version a batch; ids are only added, a part each batch. A
+    batch that is run again after a failure, or after the driver's restart, starts from the last complete
+    version before it. With ``remember``, ids of batches more than that many back are forgotten.
     """
 
-    def __init__(self, spark: SparkSession, signatures, path: str | None = None, max_active_per_actor: int = 1000):
-        self.spark, self.found, self.bound = spark, enabled_of(signatures), max_active_per_actor
+    def __init__(self, spark: SparkSession, signatures, path: str | None = None, max_active_per_actor: int = 1000, remember: int | None = None):
+        if max_active_per_actor < 1 or remember is not None and remember < 1:
+            raise ValueError("state bounds must be positive")
+        self.spark, self.found, self.bound, self.remember = spark, enabled_of(signatures), max_active_per_actor, remember
         self.path = path or f"{shared_dir(spark)}/tidewarden/stream-state"
-        self.last = -1
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        if self.last < 0:
+    def _exists(self, path: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def before(self, batch_id: int) -> int:
+        """The last complete version before a batch; -1 if there is none. The clock is written last."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        numbers = [int(x.getPath().getName()) for x in fs.listStatus(p)] if fs.exists(p) else []
+        return max((n for n in numbers if n < batch_id and self._exists(f"{self.path}/versions/{n:09d}/clock/_SUCCESS")), default=-1)
+
+    def _read(self, last: int, name: str, schema: str) -> DataFrame:
+        if last < 0:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{self.last:09d}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/versions/{last:09d}/{name}")
+
+    def _seen(self, batch_id: int) -> DataFrame:
+        if not self._exists(f"{self.path}/ids"):
+            return self.spark.createDataFrame([], "event_id string")
+        ids = self.spark.read.schema("event_id string, batch long").parquet(f"{self.path}/ids").where(F.col("batch") < batch_id)
+        return (ids if self.remember is None else ids.where(F.col("batch") >= batch_id - self.remember)).select("event_id")
+
+    def state(self) -> dict:
+        """The largest event time so far, in micros, and the number of active partial matches."""
+        last = self.before(1 << 62)
+        clock = self._read(last, "clock", "clock long").agg(F.max("clock").alias("c")).first()["c"]
+        active = self._read(last, "states", "actor_id string, partials string").agg(F.coalesce(F.sum(F.size(F.from_json("partials", "array<string>"))), F.lit(0)).alias("n")).first()["n"]
+        return {"watermark": clock, "active_state_count": active}
 
     def __call__(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        at = f"{self.path}/{batch_id:09d}"
-        seen, states = self._read("seen", "event_id string"), self._read("states", "actor_id string, partials string")
-        clock = self._read("clock", "clock long").agg(F.max("clock").alias("c")).first()["c"]
+        at, last = f"{self.path}/versions/{batch_id:09d}", self.before(batch_id)
+        states = self._read(last, "states", "actor_id string, partials string")
+        clock = self._read(last, "clock", "clock long").agg(F.max("clock").alias("c")).first()["c"]
         fresh = batch.dropDuplicates(["event_id"]) if "arrival_seq" not in batch.columns else detection.first_of(batch.withColumns({"rule_id": F.lit(0), "rule_index": F.lit(0)})).drop("rule_id", "rule_index")
-        fresh = fresh.join(seen, "event_id", "left_anti")
-        fresh.select("event_id").write.mode("overwrite").parquet(f"{at}/fresh")
-        fresh = fresh.join(self.spark.read.parquet(f"{at}/fresh"), "event_id", "left_semi")
+        fresh = fresh.join(self._seen(batch_id), "event_id", "left_anti")
+        ids = f"{self.path}/ids/batch={batch_id}"
+        fresh.select("event_id").write.mode("overwrite").parquet(ids)
+        fresh = fresh.join(self.spark.read.schema("event_id string").parquet(ids), "event_id", "left_semi")
         stamped = running_clock(fresh)
         if clock is not None:
             stamped = stamped.withColumn("__clock", F.greatest("__clock", F.lit(clock)))
@@ -89,20 +116,36 @@ class StampedRunner:
         both.write.mode("overwrite").parquet(f"{at}/both")
         both = self.spark.read.parquet(f"{at}/both")
         both.where("partials is not null and partials <> '[]'").select("actor_id", "partials").write.mode("overwrite").parquet(f"{at}/states")
-        seen.unionByName(self.spark.read.parquet(f"{at}/fresh")).write.mode("overwrite").parquet(f"{at}/seen")
         stamped.agg(F.max("__clock").alias("clock")).select(F.greatest("clock", F.lit(clock).cast("long")).alias("clock")).write.mode("overwrite").parquet(f"{at}/clock")
-        self.last = batch_id
+        self._forget(last)
         return both.where("signature_id is not null").drop("partials")
 
+    def _forget(self, last: int) -> None:
+        """Versions before the last but one go; a batch that is run again needs no older one."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for x in fs.listStatus(p):
+            if int(x.getPath().getName()) < last:
+                fs.delete(x.getPath(), True)
+
+
+#: Folders by fingerprint of the matches that ``incident_stream`` keeps.
+BUCKETS = 64
+
 
 def incident_stream(matches: DataFrame, store: IncidentStore, path: str):
     """Fold a stream of rule matches into the store: each batch refolds the fingerprints it touches
-    over all their matches, which are kept as a table; replays change nothing."""
+    over all their matches. Those are kept as a table in folders by fingerprint, of which a batch reads the
+    ones it touches; replays, and a batch run again after a failure, change nothing."""
     spark = store.spark
+    bucket = F.pmod(F.xxhash64("fingerprint"), F.lit(BUCKETS)).alias("bucket")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/matches/batch={batch_id}")
-        every = spark.read.parquet(f"{path}/matches").drop("batch")
+        at = f"{path}/matches/batch={batch_id}"
+        batch.select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(at)
+        batch = spark.read.schema(batch.schema).parquet(at)
+        touched = [r["bucket"] for r in batch.select(bucket).distinct().collect()]  # BUCKETS rows at most
+        every = spark.read.parquet(f"{path}/matches").where(F.col("bucket").isin(touched)).drop("batch", "bucket")
         touched = every.join(batch.select("fingerprint").distinct(), "fingerprint", "left_semi")
         store.upsert(detection.incidents(touched))
 
