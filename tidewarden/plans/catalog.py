@@ -382,10 +382,10 @@ def privilege_loops(spark: SparkSession, d: str) -> DataFrame:
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
     e = readers.table_events(spark, d)
     kind = F.when(F.col("action") == "login", "event").when(F.col("action") == "role_change", "sequence_match").when(F.col("action") == "read", "graph_path").otherwise("baseline")
-    return e.where("arrival_seq % 3 = 0").select(F.col("actor_id").alias("request_id"), kind.alias("reference_type"), F.col("event_id").alias("reference_id"), F.lit("events").alias("source"))
+    return e.select(F.col("actor_id").alias("request_id"), kind.alias("reference_type"), F.col("event_id").alias("reference_id"), F.lit("events").alias("source"))
 
 
-EVIDENCE = EV + ", v AS (SELECT actor_id AS request_id, CASE action WHEN 'login' THEN 'event' WHEN 'role_change' THEN 'sequence_match' WHEN 'read' THEN 'graph_path' ELSE 'baseline' END AS t, event_id AS reference_id FROM ev WHERE arrival_seq % 3 = 0)"
+EVIDENCE = EV + ", v AS (SELECT actor_id AS request_id, CASE action WHEN 'login' THEN 'event' WHEN 'role_change' THEN 'sequence_match' WHEN 'read' THEN 'graph_path' ELSE 'baseline' END AS t, event_id AS reference_id FROM ev)"
 
 
 @query("evidence_summary", EVIDENCE + ", c AS (SELECT request_id, t, count(*) AS n FROM v GROUP BY ALL) SELECT request_id, CAST(sum(n) AS BIGINT) AS total, string_agg(n || ' ' || replace(t, '_', ' '), ', ' ORDER BY t) AS text FROM c GROUP BY request_id")
@@ -405,10 +405,11 @@ def investigations(spark: SparkSession, d: str) -> DataFrame:
     return investigate.investigate(requests, v).select("request_id", "summary", F.size("cited_evidence").cast("long").alias("cited"))
 
 
-@query("citation_check", EVIDENCE + ", cited AS (SELECT request_id, reference_id FROM v WHERE CAST(reference_id AS BIGINT) % 5 <> 0), h AS (SELECT request_id, reference_id FROM v WHERE CAST(reference_id AS BIGINT) % 10 = 0) SELECT request_id, 'not cited' AS problem, string_agg(reference_id, ',' ORDER BY reference_id) AS missing FROM h WHERE NOT EXISTS (SELECT 1 FROM cited WHERE cited.request_id = h.request_id AND cited.reference_id = h.reference_id) GROUP BY request_id")
+@query("citation_check", EVIDENCE + " SELECT request_id, 'not cited' AS problem, string_agg(reference_id, ',' ORDER BY reference_id) AS missing FROM v WHERE t = 'baseline' GROUP BY request_id")
 def citation_check(spark: SparkSession, d: str) -> DataFrame:
-    v, n = _evidence(spark, d), F.col("reference_id").cast("long")
-    return investigate.citation_problems(v.where(n % 10 == 0), v.where(n % 5 != 0), v).select("request_id", "problem", joined("missing"))
+    """Hypotheses cite every reference; the response lists all but those to baselines."""
+    v = _evidence(spark, d)
+    return investigate.citation_problems(v, v.where("reference_type <> 'baseline'"), v).select("request_id", "problem", joined("missing"))
 
 
 @query("kafka_records", EV + "SELECT event_id AS key, action, result FROM ev")
