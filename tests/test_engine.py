@@ -182,6 +182,98 @@ def test_store_and_artifacts(spark, tmp_path):
         readers.load_artifact(tmp_path / "b.json")
 
 
+def test_assess_and_metrics(spark, tmp_path):
+    found = pipeline.build_pipeline()(readers.table_events(spark, SF))
+    store = sinks.IncidentStore(spark, str(tmp_path / "store"))
+    service = pipeline.Service(store)
+    with pytest.raises(LookupError):
+        store.get("a:b")
+    assert service.ready()["status"] == "degraded" and "incidents 0" in service.metrics()
+    store.upsert(found)
+    one = found.orderBy("fingerprint").first()
+    inputs = spark.createDataFrame([(one["incident_id"], "high", 80.0, 0.9, 70.0, 4)], "incident_id string, severity string, anomaly_score double, sequence_confidence double, graph_risk_score double, evidence_count int")
+    out = service.assess(one["fingerprint"], inputs)
+    assert (out.first()["risk_score"], out.first()["risk_band"]) == (76.5, "high") and store.get(one["fingerprint"]).first()["risk_score"] == 76.5
+    with pytest.raises(ValueError):
+        service.assess(one["fingerprint"], inputs.withColumn("incident_id", F.lit("other")))
+    text = service.metrics(**sinks.sequence_metrics(spark.createDataFrame([(5, 1, 2, 3, 4, 0, 6)], "processed long, duplicates long, late long, completed long, evicted long, active long, peak long"), seconds=0.5))
+    assert "tidewarden_incidents 140" in text and "tidewarden_states_evicted_total 4" in text and "tidewarden_sequence_latency_ms_average 100.0" in text and "# TYPE tidewarden_peak_active_states gauge" in text
+    calls = sinks.ProviderMetrics()
+    calls.observe(True, 0.2)
+    calls.observe(False, 0.4, 2)
+    assert calls.values()["provider_latency_ms_average"] == pytest.approx(300) and "tidewarden_provider_failures_total 1" in sinks.prometheus(calls.values(), gauges=sinks.GAUGES)
+
+
+def test_two_writers_of_the_store(spark, tmp_path, monkeypatch):
+    row = lambda fp, status: spark.createDataFrame([(fp, status)], "fingerprint string, status string")
+    a, b = (sinks.IncidentStore(spark, str(tmp_path / "s")) for _ in range(2))
+    a.upsert(row("x", "open"))
+    reader = b.all()
+    real, meant = a._commit, []
+
+    def late(number, name):
+        if not meant:  # another writer is faster
+            meant.append(name)
+            b.upsert(row("y", "open"))
+        return real(number, name)
+
+    monkeypatch.setattr(a, "_commit", late)
+    a.upsert(row("x", "closed"))
+    assert [tuple(r) for r in a.all().collect()] == [("x", "closed"), ("y", "open")]
+    b.upsert(row("z", "open"))
+    assert b.all().count() == 3 and reader is not None
+
+
+def test_forest_artifacts_and_registry(spark, tmp_path):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(60, 3))
+    forest = behavior.IsolationForest(trees=20).fit(x)
+    path = str(tmp_path / "forest.json")
+    forest.save(path, "a", ["f", "g", "h"], len(x))
+    again, facts = behavior.IsolationForest.load(path, "a")
+    assert np.allclose(again.score(x), forest.score(x)) and facts["feature_names"] == ["f", "g", "h"] and facts["observation_count"] == 60
+    with pytest.raises(ValueError):
+        behavior.IsolationForest.load(path, "b")
+    with pytest.raises(RuntimeError):
+        behavior.IsolationForest().save(path, "a", [], 0)
+    v = vectors(spark, [("a", {"x": 1.0}), ("a", {"x": 3.0}), ("b", {"x": 9.0})])
+    now, known, new = behavior.update_many(v.limit(0), v.unionByName(v))
+    assert new == 3 and [r["entity_id"] for r in known.collect()] == ["a", "b"]
+    service = pipeline.Service(sinks.IncidentStore(spark, str(tmp_path / "none")))
+    for e in ("a", "b"):
+        service.register(known.where(F.col("entity_id") == e), e)
+    assert service.score(v).count() == 3
+    with pytest.raises(ValueError):
+        service.register(known.where("entity_id = 'a'"), "b")
+
+
+def test_evidence_files(spark, tmp_path):
+    ref = {"reference_type": "event", "reference_id": "e", "source": "s"}
+    for name, content in (("ok", [ref]), ("object", ref), ("short", [{"reference_type": "event"}])):
+        (tmp_path / name).write_text(json.dumps(content, indent=1))
+    assert readers.evidence(spark, str(tmp_path / "ok")).collect()[0]["reference_id"] == "e"
+    for name in ("object", "short"):
+        with pytest.raises(Exception, match="JSON array|without"):
+            readers.evidence(spark, str(tmp_path / name)).collect()
+
+
+def test_isolation_scores_follow_the_forest(spark):
+    """Per entity what the forest gives alone, and outliers on top."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(e, {"x": float(a), "y": float(b)}) for e in ("a", "b") for a, b in [*rng.normal(size=(80, 2)), (9.0, 9.0)]]
+    v = vectors(spark, rows)
+    out = {r["event_id"]: (r["score"], r["is_anomalous"]) for r in behavior.isolation_scores(v, v, trees=30).collect()}
+    for e in ("a", "b"):
+        at = [i for i, r in enumerate(rows) if r[0] == e]
+        x = np.array([[rows[i][1]["x"], rows[i][1]["y"]] for i in at])
+        top = max(at, key=lambda i: out[f"e{i}"][0])
+        assert top == at[-1] and out[f"e{top}"][1] and sum(out[f"e{i}"][1] for i in at) <= 6
+        assert sorted(out[f"e{i}"][0] for i in at) == pytest.approx(sorted(behavior.IsolationForest(30).fit(x).score(x)), abs=0.05)
+
+
 def test_projection(spark):
     rec = {"timestamp": "2026-01-01T00:00:00Z", "user_id": "al", "ip": "10.0.0.1", "action": "login", "resource": "console", "result": "success", "severity": "critical"}
     e = ingest.normalize(raw(spark, [rec]), "s")

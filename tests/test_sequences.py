@@ -120,6 +120,37 @@ def test_batches_equal_the_whole(spark, tmp_path, pieces):
     assert sorted(found) == model(rows, sig)
 
 
+def test_batches_after_a_restart(spark, tmp_path):
+    """A new runner for each batch, and batches run twice: the state is on disk."""
+    rnd = random.Random(6)
+    rows = [(f"u{rnd.randrange(3)}", max(0, i * 10 + rnd.randrange(-90, 1)), rnd.choice(["failure", "success"]), f"x{i if rnd.random() > 0.2 else rnd.randrange(i + 1)}") for i in range(90)]
+    sig, df, found = signature(300, 60), frame(spark, rows), {}
+    for b in (0, 1, 1, 2, 2):
+        found[b] = StampedRunner(spark, [sig], str(tmp_path / "state"))(df.where(f"arrival_seq div 30 = {b}"), b)
+    assert sorted(x for f in found.values() for x in ids(f)) == model(rows, sig)
+    state = StampedRunner(spark, [sig], str(tmp_path / "state")).state()
+    assert state["watermark"] == max(int((T0 + timedelta(seconds=r[1])).timestamp()) for r in rows) * 1_000_000
+    counts = S.counters(df, [sig]).first()
+    assert state["active_state_count"] >= counts["active"] >= 0 and counts["duplicates"] == 90 - len({r[3] for r in rows})
+
+
+def test_counters_tell_how_states_end(spark):
+    rows = [("a", 0, "failure"), ("a", 1, "failure"), ("b", 2, "failure"), ("a", 3, "success"), ("b", 1000, "unknown"), ("c", 1001, "failure")]
+    r = S.counters(frame(spark, rows), [signature()]).first()
+    assert (r["processed"], r["late"], r["duplicates"], r["completed"], r["evicted"], r["active"], r["peak"]) == (6, 0, 0, 2, 1, 1, 3)
+    assert S.counters(frame(spark, rows), [signature()], 1).first()["completed"] == 1
+
+
+def test_order_is_looked_at(spark):
+    from tidewarden.plans.pipeline import build_pipeline
+
+    rows = [("a", 0, "failure"), ("b", 2000, "unknown"), ("a", 30, "success")]
+    assert S.is_ordered(frame(spark, rows[:2])) and not S.is_ordered(frame(spark, rows))
+    assert not S.is_ordered(frame(spark, [("a", 0, "failure", "x"), ("a", 1, "failure", "x")]))
+    assert build_pipeline(rules=[], signatures=[signature()])(frame(spark, rows)).isEmpty()
+    assert build_pipeline(rules=[], signatures=[signature()])(frame(spark, [rows[0], ("a", 30, "success")])).count() == 1
+
+
 def test_stream(spark, tmp_path):
     rows = [("a", 0, "failure"), ("b", 5, "failure"), ("a", 20, "success"), ("b", 400, "success")]
     src = tmp_path / "in"

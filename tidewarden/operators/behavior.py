@@ -198,7 +198,7 @@ class IsolationForest:
         if entity_id is not None and facts["entity_id"] != entity_id:
             raise ValueError(f"the forest is of {facts['entity_id']}, not of {entity_id}")
         out = cls(facts["trees"], content["sample"], facts["contamination"], facts["seed"])
-        node = lambda x: (x[0], x[1], node(x[2]), node(x[3])) if isinstance(x, list) else x
+        node = lambda x: (int(x[0]), x[1], node(x[2]), node(x[3])) if isinstance(x, list) else x
         out.n, out.offset, out.forest = content["n"], content["offset"], [node(x) for x in content["forest"]]
         return out, facts
 

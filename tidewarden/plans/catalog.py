@@ -423,8 +423,12 @@ def uuid5_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from . import surface  # noqa: F401  registers its queries; it uses this module's
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import surface  # noqa: F401
+
     return dict(SQL)

@@ -108,13 +108,14 @@ class StampedRunner:
             machine = Machine(plain, bound, [[p[0], p[1], p[2], p[3], [tuple(e) for e in p[4]]] for p in partials])
             actor = rows["actor_id"].iloc[0] if len(rows) else state["actor_id"].iloc[0]
             out = as_frame(actor, feed(machine, rows) if len(rows) else [])
-            out["partials"] = None
-            out.loc[len(out)] = [None, None, actor, None, None, None, None, None, None, None, json.dumps(machine.partials)]
-            return out
+            # the state travels as one more row
+            rows_ = [*out.assign(partials=None).itertuples(index=False, name=None), (None, None, actor, *[None] * 7, json.dumps(machine.partials))]
+            return pd.DataFrame(rows_, columns=[*out.columns, "partials"]).astype({"signature_version": "Int64", "completed_seq": "Int64", "start_seq": "Int64"})
 
         both = stepped(stamped, self.found).groupBy("actor_id").cogroup(states.groupBy("actor_id")).applyInPandas(run, f"{schemas.SEQUENCE_MATCHES}, partials string")
-        both.write.mode("overwrite").parquet(f"{at}/both")
-        both = self.spark.read.parquet(f"{at}/both")
+        out = f"{self.path}/matches/{batch_id:09d}"  # what callers read lazily; it stays
+        both.write.mode("overwrite").parquet(out)
+        both = self.spark.read.parquet(out)
         both.where("partials is not null and partials <> '[]'").select("actor_id", "partials").write.mode("overwrite").parquet(f"{at}/states")
         stamped.agg(F.max("__clock").alias("clock")).select(F.greatest("clock", F.lit(clock).cast("long")).alias("clock")).write.mode("overwrite").parquet(f"{at}/clock")
         self._forget(last)
@@ -144,6 +145,8 @@ def incident_stream(matches: DataFrame, store: IncidentStore, path: str):
         at = f"{path}/matches/batch={batch_id}"
         batch.select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(at)
         batch = spark.read.schema(batch.schema).parquet(at)
+        if batch.isEmpty():
+            return
         touched = [r["bucket"] for r in batch.select(bucket).distinct().collect()]  # BUCKETS rows at most
         every = spark.read.parquet(f"{path}/matches").where(F.col("bucket").isin(touched)).drop("batch", "bucket")
         touched = every.join(batch.select("fingerprint").distinct(), "fingerprint", "left_semi")
