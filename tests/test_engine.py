@@ -110,6 +110,24 @@ def test_traversal_orders(spark):
         graph.reachability(nodes, edges, "a", "other")
 
 
+def test_large_levels_are_ranked_by_ranges(spark, monkeypatch):
+    rnd = random.Random(8)
+    nodes, edges = small_graph(spark, [(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(150)] + [("n0", f"n{i}") for i in range(1, 20)])
+    plain = sorted(map(tuple, graph.reachability(nodes, edges, "n0").collect()))
+    path = graph.shortest_path(nodes, edges, "n0", "n33")
+    monkeypatch.setattr(graph, "RANKED", 3)
+    monkeypatch.setattr(graph, "FETCHED", 2)
+    assert sorted(map(tuple, graph.reachability(nodes, edges, "n0").collect())) == plain
+    assert graph.shortest_path(nodes, edges, "n0", "n33") == path
+
+
+def test_named_baselines_equal_the_plain_ones(spark):
+    v = vectors(spark, [("a", {"x": 10.0, "y": 1.0}), ("a", {"x": 20.0}), ("b", {"y": 5.0}), ("c", {"z": 1.0})])
+    facts = lambda df: sorted((r["entity_id"], r["observation_count"], sorted(r["means"].items()), sorted(r["standard_deviations"].items()), r["entity_type"], r["feature_names"]) for r in df.collect())
+    assert facts(behavior.baselines(v, ["x", "y", "z"])) == facts(behavior.baselines(v))
+    assert [r[0] for r in behavior.baselines(v, ["z"]).select("entity_id").collect()] == ["c"]
+
+
 def test_components_against_plain_reachability(spark):
     rnd = random.Random(4)
     edges = [(f"n{rnd.randrange(14)}", f"n{rnd.randrange(14)}") for _ in range(22)]

@@ -24,6 +24,10 @@ NUMERIC = {
 }
 
 
+#: Names of the features of ``extract_features``.
+NAMES = ["login_hour_sin", "login_hour_cos", "day_of_week", "is_failure", "is_authentication", "permission_usage", *NUMERIC]
+
+
 def number(names: list[str], attributes: str = "attributes") -> Column:
     """The first attribute that is a number, a boolean or a numeric text; else 0."""
     return F.coalesce(*[F.try_variant_get(attributes, f"$['{n}']", "double") for n in names], F.lit(0.0))
@@ -48,8 +52,21 @@ def distinct_events(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def baselines(vectors: DataFrame) -> DataFrame:
-    """Per entity: observation count, mean and population deviation of each feature."""
+def baselines(vectors: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+    """Per entity: observation count, mean and population deviation of each feature.
+
+    Where the features' names are given (all others are then left out), each is a column of one aggregate, combined
+    before the shuffle; without them every vector becomes a row for each feature.
+    """
+    if names is not None:
+        known = sorted(names)
+        wide = distinct_events(vectors).select("entity_id", "entity_type", "timestamp", "arrival_seq", *(F.try_element_at("features", F.lit(n)).alias(f"f{i}") for i, n in enumerate(known)))
+        each = [a for i in range(len(known)) for a in (F.avg(f"f{i}").alias(f"m{i}"), F.stddev_pop(f"f{i}").alias(f"d{i}"), F.count(f"f{i}").alias(f"n{i}"))]
+        out = wide.groupBy("entity_id").agg(F.max_by("entity_type", "arrival_seq").alias("entity_type"), F.max_by("timestamp", "arrival_seq").alias("updated_at"), *each)
+        there = F.filter(F.array(*(F.when(F.col(f"n{i}") > 0, F.struct(F.lit(n).alias("k"), F.col(f"m{i}").alias("m"), F.col(f"d{i}").alias("d"))) for i, n in enumerate(known))), lambda x: x.isNotNull())
+        out = out.withColumn("x", there).withColumn("observation_count", F.greatest(*(F.col(f"n{i}") for i in range(len(known))), F.lit(0)))
+        column = lambda c: F.map_from_arrays(F.transform("x", lambda x: x["k"]), F.transform("x", lambda x: x[c]))
+        return out.where("observation_count > 0").select("entity_id", "entity_type", "observation_count", F.transform("x", lambda x: x["k"]).alias("feature_names"), column("m").alias("means"), column("d").alias("standard_deviations"), "updated_at")
     long = distinct_events(vectors).select("entity_id", "entity_type", "timestamp", "arrival_seq", F.explode("features").alias("feature", "value"))
     each = long.groupBy("entity_id", "feature").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"), F.count("*").alias("n"), F.max(F.struct("arrival_seq", "entity_type", "timestamp")).alias("last")

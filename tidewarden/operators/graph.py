@@ -164,12 +164,25 @@ def reachability(nodes: DataFrame, edges: DataFrame, source: str, algorithm: str
         if not count:
             return visited
         # one level's ranks; ties of the parent's position go by node id
-        rank = F.row_number().over(Window.orderBy("parent", "t"))
-        frontier = written(near.select(F.col("t").alias("node_id"), F.lit(depth).alias("depth"), (rank + F.lit(position - 1)).cast("long").alias("position")), "frontier")
+        frontier = written(_ranked(near, count, "parent", "t").select(F.col("t").alias("node_id"), F.lit(depth).alias("depth"), (F.col("rank") + F.lit(position - 1)).cast("long").alias("position")), "frontier")
         visited = written(visited.unionByName(frontier), "visited")
         position += count
 
 
+#: Rows that one task ranks.
+RANKED = 1_000_000
+
+
+def _ranked(df: DataFrame, count: int, *order: str) -> DataFrame:
+    """df with rank, from 1 by the order. Many rows are sorted by ranges; a row for each range carries the rank on."""
+    if count <= RANKED:
+        return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    rows = written(df.orderBy(*order).withColumn("__i", F.monotonically_increasing_id()), "ranks").withColumn("__part", F.shiftright("__i", 33))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = rows.groupBy("__part").agg(F.count("*").alias("n")).select("__part", before.alias("__base"))
+    return rows.join(F.broadcast(base), "__part").withColumn("rank", F.col("__base") + F.expr("__i & 8589934591") + 1).drop("__i", "__part", "__base")
+
+
 def _dfs(steps: DataFrame, source: str) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list[str]] = {}
@@ -193,6 +206,10 @@ def cost(confidence: Column) -> Column:
     return 1 / F.greatest(confidence, F.lit(0.01))
 
 
+#: Most predecessors that are fetched at once to walk back along a path.
+FETCHED = 50_000
+
+
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, edge_types: Iterable[str] | None = None) -> dict | None:
     """The cheapest path by rounds of relaxation; None if there is none.
 
@@ -220,9 +237,11 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
     tight = steps.join(best.select(F.col("node_id").alias("s"), F.col("d").alias("ds")), "s").join(best.select(F.col("node_id").alias("t"), F.col("d").alias("dt")), "t").where("ds + c = dt")
     before = written(tight.groupBy("t").agg(F.min(F.struct("ds", "s", "edge_id", "edge_type")).alias("p")).select("t", "p.*"), "before")
     total = best.where(F.col("node_id") == target).first()["d"]
+    held = {r["t"]: r for r in before.limit(FETCHED + 1).collect()}
+    whole = len(held) <= FETCHED
     path, at = [], target
-    while at != source:  # as many lookups as the path has edges
-        row = before.where(F.col("t") == at).first()
+    while at != source:  # beyond FETCHED rows, a lookup for each edge of the path
+        row = held[at] if whole else before.where(F.col("t") == at).first()
         path.append(row)
         at = row["s"]
     path.reverse()

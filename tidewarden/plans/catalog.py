@@ -160,13 +160,13 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 @query("baselines", FEATURES + "SELECT entity_id, feature, round(mean, 4) AS mean, round(deviation, 4) AS deviation, n FROM b")
 def baselines(spark: SparkSession, d: str) -> DataFrame:
-    b = behavior.baselines(behavior.extract_features(readers.table_events(spark, d)))
+    b = behavior.baselines(behavior.extract_features(readers.table_events(spark, d)), behavior.NAMES)
     return b.select("entity_id", F.col("observation_count").alias("n"), "standard_deviations", F.explode("means").alias("feature", "m")).select("entity_id", "feature", F.round("m", 4).alias("mean"), F.round(F.element_at("standard_deviations", F.col("feature")), 4).alias("deviation"), "n")
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     v = behavior.extract_features(readers.table_events(spark, d))
-    return behavior.score(v, behavior.baselines(v))
+    return behavior.score(v, behavior.baselines(v, behavior.NAMES))
 
 
 @query("zscore", FEATURES + "SELECT event_id, entity_id, round(max(abs(z)), 5) AS score, max(abs(z)) >= 3 AND max(n) >= 2 AS is_anomalous, max(n) AS observations FROM z GROUP BY event_id, entity_id")
@@ -265,7 +265,7 @@ def pipeline_incidents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sequence_counters", CEP + "SELECT (SELECT count(*) FROM ev) AS processed, 0 AS late, 0 AS duplicates, (SELECT count(*) FROM hit) AS completed")
 def sequence_counters(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.counters(readers.table_events(spark, d), _day())
+    return sequences.counters(readers.table_events(spark, d), _day()).select("processed", "late", "duplicates", "completed")
 
 
 RISK = (

@@ -42,7 +42,7 @@ def z_scorer(threshold: float = 3.0, minimum_observations: int = 2) -> Callable[
 
     def run(events: DataFrame) -> DataFrame:
         vectors = behavior.extract_features(events)
-        return behavior.score(vectors, behavior.baselines(vectors), threshold, minimum_observations)
+        return behavior.score(vectors, behavior.baselines(vectors, behavior.NAMES), threshold, minimum_observations)
 
     return run
 

@@ -279,13 +279,13 @@ def baseline_update(spark: SparkSession, d: str) -> DataFrame:
 def top_contributor(spark: SparkSession, d: str) -> DataFrame:
     """The feature with the largest |z| of each event, by name; without bytes, which the table derives from the rate."""
     v = behavior.extract_features(readers.table_events(spark, d)).withColumn("features", F.map_filter("features", lambda k, _: k != "bytes_transferred"))
-    return behavior.score(v, behavior.baselines(v)).select("event_id", F.get("top_contributors", F.lit(0)).alias("top"))
+    return behavior.score(v, behavior.baselines(v, behavior.NAMES)).select("event_id", F.get("top_contributors", F.lit(0)).alias("top"))
 
 
 @query("anomaly_metrics", FEATURES + ", s AS (SELECT event_id, max(abs(z)) >= 3 AND max(n) >= 2 AS hit FROM z GROUP BY event_id) SELECT 'score_requests_total' AS name, CAST(count(*) AS DOUBLE) AS value FROM s UNION ALL SELECT 'anomalous_requests_total', count(*) FROM s WHERE hit UNION ALL SELECT 'score_requests_by_model_total{model=\"z_score\"}', count(*) FROM s")
 def anomaly_metrics(spark: SparkSession, d: str) -> DataFrame:
     v = behavior.extract_features(readers.table_events(spark, d))
-    found = sinks.anomaly_metrics(behavior.score(v, behavior.baselines(v)).withColumn("model", F.lit("z_score")), by="model")
+    found = sinks.anomaly_metrics(behavior.score(v, behavior.baselines(v, behavior.NAMES)).withColumn("model", F.lit("z_score")), by="model")
     return spark.createDataFrame([(k, float(x)) for k, x in found.items()], "name string, value double")
 
 
