@@ -323,3 +323,58 @@ def test_isolation_query_uses_the_default_forest(spark, monkeypatch):
     monkeypatch.setattr(behavior, "isolation_scores", record)
     catalog.queries()["isolation_forest"](spark, SF)
     assert seen == [100]
+
+
+@pytest.fixture(scope="module")
+def edges_of_three(spark, tmp_path_factory):
+    """Events of users with z-scores of 3, or equal ones of two features, in exact arithmetic."""
+    at = str(tmp_path_factory.mktemp("edges"))
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    users = [r[0] for r in events.where("event_id in (16206, 20618, 36350, 18645, 87956)").select("user_id").collect()]
+    events.where(F.col("user_id").isin(users)).orderBy("event_id").coalesce(1).write.parquet(f"{at}/events.parquet")
+    return at
+
+
+def equals_sql(spark, at, name):
+    """The query gives the rows that its SQL gives on one thread, which takes the table in its order."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute("set timezone = 'UTC'")
+    con.execute(f"create view events as select * from '{at}/events.parquet/*.parquet'")
+    found = con.execute(catalog.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    assert sorted(map(tuple, catalog.queries()[name](spark, at).select(*columns).collect())) == sorted(found.fetchall())
+
+
+def test_statistics_are_taken_in_the_order_of_arrival(spark):
+    """The same doubles as an online store's, however the rows are dealt out and into how many batches."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"u{rng.randrange(5)}", {"x": rng.uniform(0, 100), **({"y": float(i % 10 == 0)} if i % 7 else {})}) for i in range(600)]
+    state = {}
+    for e, features in rows:
+        for k, x in features.items():
+            s = state.setdefault((e, k), [0, 0.0, 0.0, 0.0])
+            s[0] += 1
+            delta = x - s[1]
+            s[1] += delta / s[0]
+            s[2] += delta * (x - s[1])
+            s[3] += x
+    plain = {k: (s[3] / s[0], math.sqrt(s[2] / s[0])) for k, s in state.items()}
+    v, name = vectors(spark, rows), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for size in ("7", "10000"):
+            spark.conf.set(name, size)
+            for known in (["x", "y"], None):
+                out = behavior.baselines(v.repartition(3), known).collect()
+                assert {(r["entity_id"], k): (m, r["standard_deviations"][k]) for r in out for k, m in r["means"].items()} == plain
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_zscore_at_the_threshold(spark, edges_of_three):
+    equals_sql(spark, edges_of_three, "zscore")

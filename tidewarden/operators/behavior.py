@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,29 +54,100 @@ def distinct_events(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def _folded(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Running mean and deviation of the value columns over rows sorted by their first ``keys`` columns; the three
+    columns after these are facts of the last row. The groups of a batch advance together, row by row; only an open group's state is kept."""
+    held = None
+
+    def out(lead: pa.RecordBatch, state: list[np.ndarray]) -> pa.RecordBatch:
+        n, _, m2, total, rows = state
+        some, least = n > 0, np.maximum(n, 1)
+        lists = [pa.array(n.ravel()), pa.array((total / least).ravel(), mask=~some.ravel()), pa.array(np.sqrt(m2 / least).ravel(), mask=~some.ravel())]
+        at = pa.array(np.arange(0, n.size + 1, n.shape[1], dtype=np.int32))
+        return pa.RecordBatch.from_arrays([*lead.columns, pa.array(rows), *(pa.ListArray.from_arrays(at, x) for x in lists)], names=[*lead.schema.names, "rows", "n", "m", "d"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for c in batch.columns[:keys]:
+            ends = pc.run_end_encode(c).run_ends.to_numpy()
+            new[np.append(0, ends[:-1])] = True
+        start = np.flatnonzero(new)
+        stop = np.append(start[1:], batch.num_rows)
+        values = batch.columns[keys + 3 :]
+        there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in values])
+        x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in values])
+        shape = (len(start), len(values))
+        state = [np.zeros(shape, np.int64), np.zeros(shape), np.zeros(shape), np.zeros(shape), stop - start]
+        if held is not None:
+            if held[0].select(range(keys)).to_pylist() == batch.slice(0, 1).select(range(keys)).to_pylist():
+                for mine, theirs in zip(state[:4], held[1], strict=False):
+                    mine[0] = theirs[0]
+                state[4][0] += held[1][4][0]
+            else:
+                yield out(*held)
+        # the longest first, so that those which go on are a prefix
+        order = np.argsort(start - stop, kind="stable")
+        n, mean, m2, total = (part[order] for part in state[:4])
+        begin, lengths = start[order], (stop - start)[order]
+        going = len(order)
+        for step in range(int(lengths[0])):
+            while lengths[going - 1] <= step:
+                going -= 1
+            row, g = begin[:going] + step, slice(0, going)
+            v, ok = x[row], there[row]
+            n[g] += ok
+            delta = v - mean[g]
+            after = mean[g] + delta / np.maximum(n[g], 1)
+            m2[g] += np.where(ok, delta * (v - after), 0.0)
+            mean[g] = np.where(ok, after, mean[g])
+            total[g] += v
+        for part, done in zip(state[:4], (n, mean, m2, total), strict=False):
+            part[order] = done
+        lead = batch.select(range(keys + 3))
+        lead = pa.RecordBatch.from_arrays([*(c.take(pa.array(start)) for c in lead.columns[:keys]), *(c.take(pa.array(stop - 1)) for c in lead.columns[keys:])], schema=lead.schema)
+        last = len(start) - 1
+        if last:
+            yield out(lead.slice(0, last), [part[:last] for part in state])
+        held = lead.slice(last), [part[last:] for part in state]
+    if held is not None:
+        yield out(*held)
+
+
+def running(observed: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """by, the last arrival's entity_type, timestamp and arrival_seq, rows, and lists n, m, d: count, mean and population deviation of each value.
+
+    Taken in the order of arrival, one observation after the other, as an online store takes them: so they are the
+    same doubles however the rows are dealt out, and a z-score that lies on a threshold does not change its side.
+    """
+    ordered = observed.select(*by, "entity_type", "timestamp", "arrival_seq", *values, "event_id").repartition(*by).sortWithinPartitions(*by, "arrival_seq", "event_id").drop("event_id")
+    kinds = dict(ordered.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, "entity_type", "timestamp", "arrival_seq"]) + ", rows long, n array<long>, m array<double>, d array<double>"
+    return ordered.mapInArrow(lambda batches: _folded(batches, len(by)), schema)
+
+
 def baselines(vectors: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     """Per entity: observation count, mean and population deviation of each feature.
 
-    Where the features' names are given (all others are then left out), each is a column of one aggregate, combined
-    before the shuffle; without them every vector becomes a row for each feature.
+    Where the features' names are given (all others are then left out), each is a column and every vector stays one
+    row; without them every vector becomes a row for each feature.
     """
     if names is not None:
         known = sorted(names)
-        wide = distinct_events(vectors).select("entity_id", "entity_type", "timestamp", "arrival_seq", *(F.try_element_at("features", F.lit(n)).alias(f"f{i}") for i, n in enumerate(known)))
-        each = [a for i in range(len(known)) for a in (F.avg(f"f{i}").alias(f"m{i}"), F.stddev_pop(f"f{i}").alias(f"d{i}"), F.count(f"f{i}").alias(f"n{i}"))]
-        out = wide.groupBy("entity_id").agg(F.max_by("entity_type", "arrival_seq").alias("entity_type"), F.max_by("timestamp", "arrival_seq").alias("updated_at"), *each)
-        there = F.filter(F.array(*(F.when(F.col(f"n{i}") > 0, F.struct(F.lit(n).alias("k"), F.col(f"m{i}").alias("m"), F.col(f"d{i}").alias("d"))) for i, n in enumerate(known))), lambda x: x.isNotNull())
-        out = out.withColumn("x", there).withColumn("observation_count", F.greatest(*(F.col(f"n{i}") for i in range(len(known))), F.lit(0)))
+        values = [f"f{i}" for i in range(len(known))]
+        wide = distinct_events(vectors).select("entity_id", "entity_type", "timestamp", "arrival_seq", "event_id", *(F.try_element_at("features", F.lit(n)).alias(f) for n, f in zip(known, values, strict=True)))
+        out = running(wide, ["entity_id"], values)
+        there = F.filter(F.array(*(F.when(F.col("n")[i] > 0, F.struct(F.lit(n).alias("k"), F.col("m")[i].alias("m"), F.col("d")[i].alias("d"))) for i, n in enumerate(known))), lambda x: x.isNotNull())
+        out = out.withColumn("x", there).withColumn("observation_count", F.array_max("n"))
         column = lambda c: F.map_from_arrays(F.transform("x", lambda x: x["k"]), F.transform("x", lambda x: x[c]))
-        return out.where("observation_count > 0").select("entity_id", "entity_type", "observation_count", F.transform("x", lambda x: x["k"]).alias("feature_names"), column("m").alias("means"), column("d").alias("standard_deviations"), "updated_at")
-    long = distinct_events(vectors).select("entity_id", "entity_type", "timestamp", "arrival_seq", F.explode("features").alias("feature", "value"))
-    each = long.groupBy("entity_id", "feature").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"), F.count("*").alias("n"), F.max(F.struct("arrival_seq", "entity_type", "timestamp")).alias("last")
-    )
+        return out.where("observation_count > 0").select("entity_id", "entity_type", "observation_count", F.transform("x", lambda x: x["k"]).alias("feature_names"), column("m").alias("means"), column("d").alias("standard_deviations"), F.col("timestamp").alias("updated_at"))
+    long = distinct_events(vectors).select("entity_id", "entity_type", "timestamp", "arrival_seq", "event_id", F.explode("features").alias("feature", "value"))
+    each = running(long, ["entity_id", "feature"], ["value"]).withColumns({"mean": F.col("m")[0], "deviation": F.col("d")[0]})
     names = F.array_sort(F.collect_list("feature"))
     as_map = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", c))))
     return each.groupBy("entity_id").agg(
-        F.max("last").alias("last"), F.max("n").alias("observation_count"), names.alias("feature_names"), as_map("mean").alias("means"), as_map("deviation").alias("standard_deviations")
+        F.max(F.struct("arrival_seq", "entity_type", "timestamp")).alias("last"), F.max("rows").alias("observation_count"), names.alias("feature_names"), as_map("mean").alias("means"), as_map("deviation").alias("standard_deviations")
     ).select("entity_id", "last.entity_type", "observation_count", "feature_names", "means", "standard_deviations", F.col("last.timestamp").alias("updated_at"))
 
 
