@@ -378,3 +378,7 @@ def test_statistics_are_taken_in_the_order_of_arrival(spark):
 
 def test_zscore_at_the_threshold(spark, edges_of_three):
     equals_sql(spark, edges_of_three, "zscore")
+
+
+def test_anomaly_metrics_at_the_threshold(spark, edges_of_three):
+    equals_sql(spark, edges_of_three, "anomaly_metrics")
