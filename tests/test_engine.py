@@ -382,3 +382,12 @@ def test_zscore_at_the_threshold(spark, edges_of_three):
 
 def test_anomaly_metrics_at_the_threshold(spark, edges_of_three):
     equals_sql(spark, edges_of_three, "anomaly_metrics")
+
+
+def test_scored_pipeline_on_a_repeated_table(spark, edges_of_three, tmp_path):
+    """At the threshold; and with time that starts anew, where the SQL's sequences follow arrival."""
+    equals_sql(spark, edges_of_three, "scored_pipeline")
+    once = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    again = once.withColumns({"event_id": F.col("event_id") + 10_000, "user_id": F.col("user_id") + 150})
+    once.unionByName(again).orderBy("event_id").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    equals_sql(spark, str(tmp_path), "scored_pipeline")

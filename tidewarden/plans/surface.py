@@ -160,8 +160,8 @@ def apply_risk(spark: SparkSession, d: str) -> DataFrame:
 j AS (SELECT fingerprint, {RANK.format('severity')} AS r FROM m UNION ALL SELECT 'sequence:credential_attack:' || actor_id, 3 FROM hit UNION ALL SELECT ev.fingerprint, CASE WHEN s.top >= 10 THEN 3 ELSE 2 END FROM ev JOIN (SELECT event_id, max(abs(z)) AS top FROM z GROUP BY event_id) s USING (event_id) JOIN a USING (event_id))
 SELECT fingerprint, count(*) AS match_count, max(r) AS rank FROM j GROUP BY fingerprint""")
 def scored_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Rules, anomalies by a scorer that is handed in, and sequences."""
-    found = pipeline.build_pipeline(signatures=_day(), anomaly_scorer=pipeline.z_scorer())(readers.table_events(spark, d))
+    """Rules, anomalies by a scorer that is handed in, and sequences: steps in the order of arrival, none late."""
+    found = pipeline.build_pipeline(signatures=_day(), anomaly_scorer=pipeline.z_scorer(), ordered=True)(readers.table_events(spark, d))
     return found.select("fingerprint", "match_count", severity_rank(F.col("severity")).alias("rank"))
 
 
