@@ -391,3 +391,7 @@ def test_scored_pipeline_on_a_repeated_table(spark, edges_of_three, tmp_path):
     again = once.withColumns({"event_id": F.col("event_id") + 10_000, "user_id": F.col("user_id") + 150})
     once.unionByName(again).orderBy("event_id").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     equals_sql(spark, str(tmp_path), "scored_pipeline")
+
+
+def test_top_contributor_of_equal_scores(spark, edges_of_three):
+    equals_sql(spark, edges_of_three, "top_contributor")

@@ -279,7 +279,9 @@ def baseline_update(spark: SparkSession, d: str) -> DataFrame:
 def top_contributor(spark: SparkSession, d: str) -> DataFrame:
     """The feature with the largest |z| of each event, by name; without bytes, which the table derives from the rate."""
     v = behavior.extract_features(readers.table_events(spark, d)).withColumn("features", F.map_filter("features", lambda k, _: k != "bytes_transferred"))
-    return behavior.score(v, behavior.baselines(v, behavior.NAMES)).select("event_id", F.get("top_contributors", F.lit(0)).alias("top"))
+    size = lambda x: F.round(F.abs(x["z_score"]), 9)  # noqa: E731  what is equal to nine digits is a tie, which the name decides
+    first = F.array_min(F.transform("features", lambda x: F.struct((-size(x)).alias("o"), x["feature_name"].alias("n"))))
+    return behavior.score(v, behavior.baselines(v, behavior.NAMES)).select("event_id", first["n"].alias("top"))
 
 
 @query("anomaly_metrics", FEATURES + ", s AS (SELECT event_id, max(abs(z)) >= 3 AND max(n) >= 2 AS hit FROM z GROUP BY event_id) SELECT 'score_requests_total' AS name, CAST(count(*) AS DOUBLE) AS value FROM s UNION ALL SELECT 'anomalous_requests_total', count(*) FROM s WHERE hit UNION ALL SELECT 'score_requests_by_model_total{model=\"z_score\"}', count(*) FROM s")
