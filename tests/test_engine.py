@@ -395,3 +395,48 @@ def test_scored_pipeline_on_a_repeated_table(spark, edges_of_three, tmp_path):
 
 def test_top_contributor_of_equal_scores(spark, edges_of_three):
     equals_sql(spark, edges_of_three, "top_contributor")
+
+
+def test_forest_grows_all_trees_at_once():
+    """Rows' scores are the plain walk's down each tree; 100 trees on an entity's 67 rows take little time."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    seconds = []
+    for n in (67, 67, 67, 700, 2):
+        x = np.column_stack([rng.normal(size=(n, 3)), rng.integers(0, 2, n), np.zeros(n)])
+        began = time.perf_counter()
+        forest = behavior.IsolationForest().fit(x)
+        scores = forest.score(x)
+        seconds.append(time.perf_counter() - began)
+        feature, cut, left, value = forest.forest
+        sizes = np.zeros(len(feature), int)
+
+        def walk(row, node, feature=feature, cut=cut, left=left):
+            return walk(row, left[node] + (row[feature[node]] >= cut[node])) if feature[node] >= 0 else node
+
+        leaves = [[walk(row, t) for t in range(100)] for row in x]
+        c = lambda n: 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+        assert scores == pytest.approx([2 ** (-sum(value[i] for i in at) / 100 / c(min(n, 256))) - forest.offset for at in leaves], abs=1e-9)
+        if n <= 256:  # every row is in every tree: a leaf's value is its depth and what its rows would need further
+            np.add.at(sizes, np.array(leaves).ravel(), 1)
+            depth = np.zeros(len(feature))
+            for i in np.flatnonzero(feature >= 0):
+                depth[left[i]] = depth[left[i] + 1] = depth[i] + 1
+            assert depth.max() <= math.ceil(math.log2(n))
+            assert all(value[i] == pytest.approx(depth[i] + c(sizes[i])) for i in np.flatnonzero((feature < 0) & (sizes > 0)))
+    assert min(seconds[:3]) < 0.04
+
+
+def test_forests_of_one_frame_and_of_two(spark):
+    """The same forest for a seed however the rows are dealt out; maps of several kinds; entities of one vector are left out."""
+    rng = random.Random(2)
+    rows = [(f"u{i % 3}", {"x": rng.random(), "y": rng.random()} if i % 5 else {"y": rng.random(), "x": rng.random(), "z": 1.0}) for i in range(300)]
+    v = vectors(spark, [*rows, ("alone", {"x": 1.0, "y": 1.0})])
+    facts = lambda df: sorted((r["event_id"], r["entity_id"], round(r["score"], 9)) for r in df.collect())
+    once = facts(behavior.isolation_scores(v, v))
+    assert len(once) == 300 and facts(behavior.isolation_scores(v, v.repartition(3))) == once
+    w = v.repartition(7)
+    assert facts(behavior.isolation_scores(w, w)) == once

@@ -7,7 +7,6 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -223,7 +222,10 @@ def best_detector(metrics: DataFrame) -> DataFrame:
 
 
 class IsolationForest:
-    """Liu, Ting and Zhou's isolation forest in numpy: random splits, score 2 ** (-depth / c)."""
+    """Liu, Ting and Zhou's isolation forest in numpy: random splits, score 2 ** (-depth / c).
+
+    All trees grow together, a level at a time. Nodes of all trees lie in one table; node i < trees is tree i's root.
+    """
 
     def __init__(self, trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42):
         if trees < 1 or not 0 < contamination < 0.5:
@@ -231,40 +233,91 @@ class IsolationForest:
         self.trees, self.sample, self.contamination, self.seed = trees, sample, contamination, seed
 
     @staticmethod
-    def _c(n: float) -> float:
-        return 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
-
-    def _grow(self, x: np.ndarray, rng: np.random.Generator, depth: int):
-        if depth == 0 or len(x) <= 1 or not (spread := np.flatnonzero(x.max(0) > x.min(0))).size:
-            return len(x)
-        f = rng.choice(spread)
-        cut = rng.uniform(x[:, f].min(), x[:, f].max())
-        left = x[:, f] < cut
-        return f, cut, self._grow(x[left], rng, depth - 1), self._grow(x[~left], rng, depth - 1)
-
-    def _depth(self, node, x: np.ndarray, depth: int, rows: np.ndarray, out: np.ndarray) -> None:
-        if not isinstance(node, tuple):
-            out[rows] += depth + self._c(node)
-            return
-        f, cut, left, right = node
-        low = x[rows, f] < cut
-        self._depth(left, x, depth + 1, rows[low], out)
-        self._depth(right, x, depth + 1, rows[~low], out)
+    def _c(n):
+        n = np.asarray(n, float)
+        large = np.maximum(n, 3)
+        return np.where(n > 2, 2 * (np.log(large - 1) + 0.5772156649) - 2 * (large - 1) / large, n == 2)
+
+    def _grow(self, x: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
+        """Grow the forest; where every tree has every row, the sum of each row's depths."""
+        everyone = self.n == len(x)
+        rows = np.tile(np.arange(len(x)), self.trees) if everyone else np.concatenate([rng.choice(len(x), self.n, False, shuffle=False) for _ in range(self.trees)])
+        used = np.flatnonzero(x.max(0) > x.min(0))
+        wide = np.ascontiguousarray(x[:, used].T)
+        first, size = np.arange(self.trees) * self.n, np.full(self.trees, self.n)  # each node's rows
+        depths, levels, made = np.zeros(len(x)), [], 0
+        for depth in range(self.levels + 1):
+            count = len(size)
+            feature, cut, left = np.full(count, -1), np.zeros(count), np.zeros(count, np.int64)
+            if depth < self.levels and len(used):
+                some = np.flatnonzero(size > 1)
+                inside = np.repeat(size > 1, size)
+                at, of = rows[inside], np.repeat(np.arange(len(some)), size[some])
+                start = np.cumsum(size[some]) - size[some]
+            else:
+                some = np.zeros(0, np.int64)
+            if len(some):
+                values = wide[:, at]
+                low, high = np.minimum.reduceat(values, start, 1), np.maximum.reduceat(values, start, 1)
+                spread = high > low
+                kinds = spread.sum(0)
+                chosen = (spread.cumsum(0) > (rng.random(len(some)) * kinds).astype(np.int64)).argmax(0)
+                each = np.arange(len(some))
+                low, high = low[chosen, each], high[chosen, each]
+                splits = kinds > 0
+                feature[some[splits]] = used[chosen[splits]]
+                cuts = low + (high - low) * rng.random(len(some))
+                cut[some[splits]] = cuts[splits]
+                left[some[splits]] = made + count + 2 * np.arange(int(splits.sum()))
+            done = feature < 0
+            value = depth + self._c(size)
+            if everyone:
+                leaf = np.repeat(done, size)
+                depths += np.bincount(rows[leaf], np.repeat(value, size)[leaf], len(x))
+            levels.append((feature, cut, left, value))
+            if done.all():
+                break
+            # the rows of nodes that split, by child
+            on = splits[of]
+            child = 2 * (np.cumsum(splits) - 1)[of[on]] + (values[chosen[of[on]], np.flatnonzero(on)] >= cuts[of[on]])
+            rows = at[on][np.argsort(child, kind="stable")]
+            size = np.bincount(child, minlength=2 * int(splits.sum()))
+            made += count
+        self.forest = tuple(np.concatenate(part) for part in zip(*levels, strict=True))
+        return depths if everyone else None
 
     def fit(self, x: np.ndarray) -> IsolationForest:
-        if len(x) < 2:
-            raise ValueError("at least two vectors are needed")
-        rng, n = np.random.default_rng(self.seed), min(self.sample, len(x))
-        self.n = n
-        self.forest = [self._grow(x[rng.choice(len(x), n, False)], rng, math.ceil(math.log2(max(n, 2)))) for _ in range(self.trees)]
-        self.offset = float(np.quantile(self.raw(x), 1 - self.contamination))
+        self.fit_score(x)
         return self
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for tree in self.forest:
-            self._depth(tree, x, 0, np.arange(len(x)), total)
-        return 2 ** (-total / self.trees / max(self._c(self.n), 1e-9))
+    def fit_score(self, x: np.ndarray) -> np.ndarray:
+        """Fit, and the scores of the same rows: where a tree has them all, they are known from its growth."""
+        if len(x) < 2:
+            raise ValueError("at least two vectors are needed")
+        rng, self.n = np.random.default_rng(self.seed), min(self.sample, len(x))
+        depths = self._grow(np.asarray(x, float), rng)
+        raw = self.raw(x) if depths is None else self._raw(depths)
+        self.offset = float(np.quantile(raw, 1 - self.contamination))
+        return raw - self.offset
+
+    @property
+    def levels(self) -> int:
+        return math.ceil(math.log2(max(self.n, 2)))
+
+    def _raw(self, depths: np.ndarray) -> np.ndarray:
+        return 2 ** (-depths / self.trees / max(float(self._c(self.n)), 1e-9))
+
+    def raw(self, x: np.ndarray, rows: int = 4096) -> np.ndarray:
+        feature, cut, left, value = self.forest
+        splits, used, total = feature >= 0, np.maximum(feature, 0), np.zeros(len(x))
+        left = np.where(splits, left, np.arange(len(left)))  # a leaf leads to itself
+        for a in range(0, len(x), rows):
+            part = np.asarray(x[a : a + rows], float)
+            row, node = np.arange(len(part)), np.repeat(np.arange(self.trees)[:, None], len(part), 1)
+            for _ in range(self.levels):
+                node = left[node] + (splits[node] & (part[row, used[node]] >= cut[node]))
+            total[a : a + rows] = value[node].sum(0)
+        return self._raw(total)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Above 0: anomalous."""
@@ -277,7 +330,7 @@ class IsolationForest:
         """The fitted forest as a checksummed artifact."""
         if not hasattr(self, "forest"):
             raise RuntimeError("fit the forest before saving it")
-        content = {"sample": self.sample, "n": self.n, "offset": self.offset, "forest": self.forest, "metadata": self.metadata(entity_id, names, count)}
+        content = {"sample": self.sample, "n": self.n, "offset": self.offset, "nodes": [part.tolist() for part in self.forest], "metadata": self.metadata(entity_id, names, count)}
         save_artifact(path, json.loads(json.dumps(content, default=float)), artifact="isolation_forest")
 
     @classmethod
@@ -288,30 +341,66 @@ class IsolationForest:
         if entity_id is not None and facts["entity_id"] != entity_id:
             raise ValueError(f"the forest is of {facts['entity_id']}, not of {entity_id}")
         out = cls(facts["trees"], content["sample"], facts["contamination"], facts["seed"])
-        node = lambda x: (int(x[0]), x[1], node(x[2]), node(x[3])) if isinstance(x, list) else x
-        out.n, out.offset, out.forest = content["n"], content["offset"], [node(x) for x in content["forest"]]
+        nodes = content["nodes"] if "nodes" in content else cls._table(content["forest"])
+        out.n, out.offset, out.forest = content["n"], content["offset"], tuple(np.array(part, kind) for part, kind in zip(nodes, (np.int64, float, np.int64, float), strict=True))
         return out, facts
 
+    @classmethod
+    def _table(cls, forest: list) -> list[list]:
+        """The nodes of an artifact that has trees as nested lists (feature, cut, left, right), leaves as their size."""
+        table, level, depth = [], list(forest), 0
+        while level:
+            below = []
+            for node in level:
+                leaf = not isinstance(node, list)
+                table.append((-1, 0.0, 0, depth + float(cls._c(node))) if leaf else (int(node[0]), node[1], (depth, len(below)), 0.0))
+                below += [] if leaf else node[2:]
+            table = [(f, c, len(table) + at[1] if isinstance(at, tuple) else at, v) for f, c, at, v in table]
+            level, depth = below, depth + 1
+        return [list(part) for part in zip(*table, strict=True)]
+
+
+def _matrix(column: pa.ChunkedArray, names: list[str] | None = None) -> tuple[list[str], np.ndarray]:
+    """(names, a row for each map); without names the sorted ones of the first map. What a map lacks is 0."""
+    maps = pa.concat_arrays(column.chunks)
+    at = maps.offsets.to_numpy()
+    keys, items = maps.keys.slice(at[0], at[-1] - at[0]), maps.items.slice(at[0], at[-1] - at[0])
+    width = int(at[1] - at[0])
+    first = keys.slice(0, width).to_pylist()
+    names = sorted(first) if names is None else names
+    if width and not maps.null_count and (np.diff(at) == width).all():
+        codes = keys.dictionary_encode().indices.to_numpy().reshape(-1, width)
+        if (codes == codes[0]).all() and set(names) <= set(first):  # maps of one kind
+            values = items.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, width)
+            return names, values[:, [first.index(n) for n in names]]
+    return names, np.array([[found.get(n) or 0.0 for n in names] for found in (dict(m or ()) for m in maps.to_pylist())])
+
 
 def isolation_scores(train: DataFrame, vectors: DataFrame, trees: int = 100, contamination: float = 0.05, seed: int = 42) -> DataFrame:
     """Per entity a forest over its training vectors; entities with fewer than two are left out.
 
-    An entity's vectors are fitted in one task, on a sample of 256 a tree.
+    An entity's vectors are fitted in one task, on a sample of 256 a tree. Where both frames are one, it is read once.
     """
-
-    def run(fit: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"event_id": [], "entity_id": [], "score": [], "is_anomalous": []})
-        if len(fit) < 2 or not len(rows):
-            return out
-        as_dict = lambda m: dict(m) if not isinstance(m, dict) else m
-        names = sorted(as_dict(fit["features"].iloc[0]))
-        matrix = lambda part: np.array([[as_dict(m).get(n, 0.0) for n in names] for m in part["features"]])
-        value = IsolationForest(trees, contamination=contamination, seed=seed).fit(matrix(fit)).score(matrix(rows))
-        return pd.DataFrame({"event_id": rows["event_id"], "entity_id": rows["entity_id"], "score": value, "is_anomalous": value > 0})
-
+    schema = pa.schema([("event_id", pa.string()), ("entity_id", pa.string()), ("score", pa.float64()), ("is_anomalous", pa.bool_())])
+
+    def run(fit: pa.Table, rows: pa.Table | None) -> pa.Table:
+        if len(fit) < 2 or (rows is not None and not len(rows)):
+            return schema.empty_table()
+        fit = fit.sort_by("event_id")  # so that a seed gives the same forest however the rows came
+        names, matrix = _matrix(fit["features"])
+        forest = IsolationForest(trees, contamination=contamination, seed=seed)
+        if rows is None:
+            rows, value = fit, forest.fit_score(matrix)
+        else:
+            value = forest.fit(matrix).score(_matrix(rows["features"], names)[1])
+        return pa.Table.from_arrays([rows["event_id"].cast(pa.string()), rows["entity_id"].cast(pa.string()), pa.array(value), pa.array(value > 0)], schema=schema)
+
+    out = "event_id string, entity_id string, score double, is_anomalous boolean"
     keep = ["event_id", "entity_id", "features"]
-    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in keep))  # noqa: E731  both may come from one frame
-    return fresh(train).groupBy("entity_id").cogroup(fresh(vectors).groupBy("entity_id")).applyInPandas(run, "event_id string, entity_id string, score double, is_anomalous boolean")
+    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in keep)).groupBy("entity_id")  # noqa: E731  both may come from one frame
+    if train is vectors:
+        return fresh(train).applyInArrow(lambda fit: run(fit, None), out)
+    return fresh(train).cogroup(fresh(vectors)).applyInArrow(run, out)
 
 
 def run_fixture(labeled: DataFrame, training_count: int = 2, isolation: bool = True) -> dict:
