@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -552,6 +553,63 @@ def test_class_model_word_by_word(spark, listed):
     assert all(r["score"] == pytest.approx(expected[r["doc_id"]], abs=1e-6) for r in out)
 
 
+def lm_whole(rows, classes, clustered, met):
+    """The model of lm_model, then words of its open class placed by all neighbours with a class, and steps over all words."""
+    toks = lambda t: [*(t or "").encode().lower().split(), b""]
+    key = lambda w: int(brown_lm.tokens([w.decode()])[0][0] if w else brown_lm.END[0])
+    signed = lambda x: x - (1 << 64) * (x >> 63)
+    train = [[b"", *toks(t)] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = collections.Counter(w for t in train for w in t[1:])
+    core = sorted(count, key=lambda w: (w != b"", -count[w], signed(key(w))))[:clustered]
+    at, size = {w: i for i, w in enumerate(core)}, len(core)
+    grams = np.zeros((size + 1, size + 1))
+    for t in train:
+        for a, b in itertools.pairwise(t):
+            grams[at.get(a, size), at.get(b, size)] += 1
+    of = brown_lm.exchange(grams, classes, fixed=1)
+    k = int(of[-1])
+    inner = np.zeros((k, k))
+    np.add.at(inner, (of[:-1, None], of[None, :-1]), grams[:size, :size])
+    likely = np.log((inner + 5 * (inner.sum(0) + 0.5) / (inner.sum() + 0.5 * k)) / (inner.sum(1, keepdims=True) + 5))
+    kind = {w: of[i] for w, i in at.items()}
+    for _ in range(2):
+        near = collections.defaultdict(lambda: [0, np.zeros(k)])
+        for t in train:
+            for a, b in itertools.pairwise(t):
+                for w, x, gain in ((b, a, lambda c: likely[c]), (a, b, lambda c: likely[:, c])):
+                    if w not in kind and x in kind:
+                        near[w][0] += 1
+                        near[w][1] = near[w][1] + gain(kind[x])
+        kind |= {w: int(gain.argmax()) for w, (seen, gain) in near.items() if seen >= met}
+    total, steps = np.zeros(k + 1), np.zeros((k + 1, k + 1))
+    for t in train:
+        for a, b in itertools.pairwise(t):
+            steps[kind.get(a, k), kind.get(b, k)] += 1
+            total[kind.get(b, k)] += 1
+    step = np.log10((steps + 5 * (total + 0.5) / (total.sum() + 0.5 * (k + 1))) / (steps.sum(1, keepdims=True) + 5))
+    unseen = math.log10(brown_lm.DISCOUNT * max(sum(w not in kind for w in count), 1) / max(total[k], 1) / (len(count) + 1))
+    word = lambda w: math.log10((count[w] - brown_lm.DISCOUNT * (w not in kind)) / total[kind.get(w, k)]) if count[w] else unseen
+    return {i: sum(step[kind.get(a, k), kind.get(b, k)] + word(b) for a, b in itertools.pairwise([b"", *toks(t)])) for i, t in rows}
+
+
+@pytest.mark.parametrize("listed", [40, 10_000])
+def test_words_outside_the_core_lead_to_classes_too(spark, listed):
+    """Every neighbour with a class counts, however few words are clustered or broadcast."""
+    rnd = random.Random(11)
+    docs = [(i, " ".join(f"{rnd.choice('nv')}{int(rnd.paretovariate(0.8)) % 200}" for _ in range(rnd.randrange(60)))) for i in range(120)]
+    for clustered, met in ((30, 4), (12, 6)):
+        out = brown_lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), classes=5, clustered=clustered, listed=listed, met=met, whole=True).collect()
+        expected = lm_whole(docs, 5, clustered, met)
+        assert all(r["score"] == pytest.approx(expected[r["doc_id"]], abs=1e-6) for r in out)
+
+
+def test_whole_language_model_on_odd_tables(spark):
+    for docs in ([(0, "a a b")], [(i, "x " * 500 + " ".join(f"w{i}q{j}" for j in range(900))) for i in range(3)], [(i, None) for i in range(9)]):
+        for sizes in ({}, {"listed": 2, "clustered": 1}):
+            out = brown_lm.score(spark.createDataFrame(docs, "doc_id long, text string"), whole=True, **sizes).collect()
+            assert len(out) == len(docs) and all(math.isfinite(r["score"]) and r["score"] <= 1e-9 for r in out)
+
+
 def test_language_model_on_lopsided_tables(spark):
     for docs in ([(0, "a a b")], [(i, "x " * 500 + " ".join(f"w{i}q{j}" for j in range(900))) for i in range(3)], [(i, None) for i in range(9)], [(i, "same") for i in range(9)]):
         for sizes in ({}, {"listed": 2}, {"clustered": 1}):

@@ -7,10 +7,13 @@
    neighbours are likeliest. Its neighbours' classes are counted over all training text, and the words
    placed, in Spark; so there are as many words with a class as the corpus gives. The rest are the
    open class.
-4. A text's probability is the product of class transitions P(c | class of the word before, if that is a
-   core word), smoothed towards the class's share, and word emissions P(w | c). In the open class
-   emissions are smoothed by absolute discounting; what the discount frees goes to words never seen,
-   taken to be as many as the words seen.
+4. With ``whole``, as the query has it, words of the open class then join by all neighbours that have a
+   class, in the core or not, and the steps from class to class are counted over all training words. Else
+   words outside the core count as one class when they stand before another word.
+5. A text's probability is the product of class transitions P(c | class of the word before), smoothed
+   towards the class's share, and word emissions P(w | c). In the open class emissions are smoothed by
+   absolute discounting; what the discount frees goes to words never seen, taken to be as many as the
+   words seen.
 
 The LISTED most frequent words are broadcast. Counts and classes of all other tokens of a text come from
 a shuffle join with the vocabulary, which grows with the corpus; LISTED changes no result.
@@ -171,6 +174,80 @@ def _place(shared):
     return run
 
 
+def _steps(shared):
+    """Over all training text: how often each class precedes each (b the pair, a null), counts of (word whose class isn't
+    at hand, side, class of its neighbour) (a such a key, b null), and pairs of two such words (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, of, k = shared.value
+        symbols, of = Symbols(listed), np.append(of, k).astype(np.int64)
+        total, held = np.zeros(k * k, np.int64), None
+        names, kinds = ["a", "b", "count"], [pa.int64()] * 3
+
+        def out(*columns):
+            for at in range(0, len(columns[2]), 100_000):
+                part = [pa.nulls(len(columns[2][at : at + 100_000]), pa.int64()) if c is None else pa.array(c[at : at + 100_000], t) for c, t in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(part, names=names)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                words = tokens(batch.column(0)[at : at + 1000].to_pylist())[0]
+                after = of[symbols.rank(words)]
+                words = words & _WORD
+                before, first = np.concatenate((after[-1:], after[:-1])), np.concatenate((words[-1:], words[:-1]))
+                settled, led = after < k, before < k
+                total += np.bincount((before * k + after)[settled & led], minlength=k * k)
+                left, right, loose = ~settled & led, settled & ~led, ~settled & ~led
+                keys = np.concatenate((words[left] | before[left].astype(np.uint64), first[right] | np.uint64(64) | after[right].astype(np.uint64)))
+                if len(keys):
+                    held = _merge(held, *_merge(None, keys))
+                    if len(held[0]) > 2_000_000:
+                        yield from out(signed(held[0]), None, held[1])
+                        held = None
+                if loose.any():
+                    yield from out(signed(first[loose]), signed(words[loose]), np.ones(int(loose.sum()), np.int64))
+        if held is not None:
+            yield from out(signed(held[0]), None, held[1])
+        yield from out(None, np.arange(k * k), total)
+
+    return run
+
+
+def _follow(texts: DataFrame, vocabulary: DataFrame, weights: np.ndarray, listed: int, order: list, met: int) -> tuple[DataFrame, np.ndarray]:
+    """(the vocabulary with words of the open class placed by all their neighbours, steps from class to class over all words)."""
+    spark, k = texts.sparkSession, len(weights)
+    top = vocabulary.orderBy(*order).limit(listed).toArrow()
+    steps = written(texts.mapInArrow(_steps(spark.sparkContext.broadcast((top["word"].to_numpy().view(np.uint64), top["class"].to_numpy(), k))), "a long, b long, count long"), "steps")
+    classes = vocabulary.select(F.expr("word & -128L").alias("key"), "class")
+    near = steps.where("b is null").groupBy("a").agg(F.sum("count").alias("count")).select(F.expr("a & -128L").alias("key"), F.expr("cast(a & 127 as int)").alias("near"), "count")
+    near = written(near.join(classes, "key"), "near")
+    pairs = steps.where("a is not null and b is not null").groupBy("a", "b").agg(F.sum("count").alias("count"))
+    of = lambda c, name: classes.select(F.col("key").alias(c), F.col("class").alias(name))
+    pairs = written(pairs.join(of("a", "of_a"), "a").join(of("b", "of_b"), "b"), "pairs")
+    more = pairs.where(f"of_a < {k} and of_b = {k}").select(F.col("b").alias("key"), F.col("of_a").alias("near"), "count")
+    more = more.unionByName(pairs.where(f"of_a = {k} and of_b < {k}").select(F.col("a").alias("key"), (F.col("of_b") + 64).alias("near"), "count"))
+    beside = near.where(f"class = {k}").select("key", "near", "count").unionByName(more)
+    lists = beside.repartition("key").groupBy("key", "near").agg(F.sum("count").alias("count")).groupBy("key").agg(F.collect_list(F.struct("near", "count")).alias("found"))
+    placed = written(lists.mapInArrow(_place(spark.sparkContext.broadcast((weights, weights, met))), "key long, class int, count long").where("key is not null").select("key", F.col("class").alias("joined")), "placed")
+    table = np.zeros((k + 1, k + 1))
+
+    def count(rows: DataFrame, a: str, b: str) -> None:
+        for row in rows.groupBy(a, b).agg(F.sum("count")).collect():  # k squared rows
+            table[row[0], row[1]] += row[2]
+
+    found = steps.where("a is null").groupBy("b").agg(F.sum("count").alias("count")).collect()
+    for row in found:
+        table[row["b"] // k, row["b"] % k] += row["count"]
+    now = near.join(placed, "key", "left").select("near", "count", F.coalesce("joined", "class").alias("class"))
+    count(now.where("near < 64"), "near", "class")
+    count(now.where("near >= 64").withColumn("near", F.col("near") - 64), "class", "near")
+    new = lambda c, name: placed.select(F.col("key").alias(c), F.col("joined").alias(name))
+    now = pairs.join(new("a", "new_a"), "a", "left").join(new("b", "new_b"), "b", "left")
+    count(now.select("count", F.coalesce("new_a", "of_a").alias("x"), F.coalesce("new_b", "of_b").alias("y")), "x", "y")
+    out = vocabulary.withColumn("key", F.expr("word & -128L")).join(placed, "key", "left")
+    return written(out.select("word", "count", F.when(F.col("class") == k, F.coalesce("joined", "class")).otherwise(F.col("class")).alias("class")), "vocabulary"), table
+
+
 def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, fixed: int = 2) -> np.ndarray:
     """Class of each of n words (in order of frequency) from bigram counts[n + fixed, n + fixed].
 
@@ -226,7 +303,7 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, f
     return of
 
 
-def fit(texts: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, listed: int = LISTED, met: int = MET) -> tuple[dict, DataFrame]:
+def fit(texts: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, listed: int = LISTED, met: int = MET, whole: bool = False) -> tuple[dict, DataFrame]:
     """(the model's bounded part, the whole vocabulary (word, count, class)) from texts of one column."""
     if not 0 < classes <= 64:
         raise ValueError("classes must be 1 to 64")
@@ -250,37 +327,42 @@ def fit(texts: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, li
     table = member.T @ bigrams @ member
     inner, strength = table[:k, :k], 5.0
     likely = lambda t: np.log((t + strength * (t.sum(0) + 0.5) / (t.sum() + 0.5 * k)) / (t.sum(1, keepdims=True) + strength))
+    weights = likely(inner)
     contexts = texts.mapInArrow(_contexts(spark.sparkContext.broadcast((core, of[:-1]))), "key long, count long")
     # sums and lists by one exchange: hash partitions of the word serve both
     word, near = F.expr("key & -128L").alias("word"), F.expr("cast(key & 127 as int)").alias("near")
     lists = contexts.select(word, near, "count").repartition("word").groupBy("word", "near").agg(F.sum("count").alias("count")).groupBy("word").agg(F.collect_list(F.struct("near", "count")).alias("found"))
-    placed = written(lists.mapInArrow(_place(spark.sparkContext.broadcast((likely(inner), likely(inner), met))), "key long, class int, count long"), "placed")
+    placed = written(lists.mapInArrow(_place(spark.sparkContext.broadcast((weights, weights, met))), "key long, class int, count long"), "placed")
     for row in placed.where("key is null").groupBy("class").agg(F.sum("count").alias("count")).collect():  # k squared rows
         table[row["class"] // k, row["class"] % k] += row["count"]
     in_core = spark.createDataFrame(pa.table({"core": core.view(np.int64), "core_class": of[:-1].astype(np.int32)}))
     keyed = counted.withColumn("key", F.expr("word & -128L")).join(placed.where("key is not null").select("key", "class"), "key", "left")
     vocabulary = keyed.join(F.broadcast(in_core), F.col("word") == F.col("core"), "left").select("word", "count", F.coalesce("core_class", "class", F.lit(k)).alias("class"))
     vocabulary = written(vocabulary, "vocabulary")
+    if whole:
+        vocabulary, table = _follow(texts, vocabulary, weights, max(listed, size), order, met)
     total, kinds = np.zeros(k + 1), np.zeros(k + 1)
     for row in vocabulary.groupBy("class").agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect():
         total[row["class"]], kinds[row["class"]] = row["n"], row["v"]
     # what follows a core class and has no class itself is open; words before that aren't core make up the rest
-    followed = bigrams[:size].sum(1) @ member[:size]
-    table[:k, k] = np.maximum(followed[:k] - table[:k, :k].sum(1), 0)
-    table[k] = np.maximum(total - table[:k].sum(0), 0)
+    if not whole:
+        followed = bigrams[:size].sum(1) @ member[:size]
+        table[:k, k] = np.maximum(followed[:k] - table[:k, :k].sum(1), 0)
+        table[k] = np.maximum(total - table[:k].sum(0), 0)
     share = (total + 0.5) / (total.sum() + 0.5 * (k + 1))
     transition = np.log10((table + strength * share) / (table.sum(1, keepdims=True) + strength))
     top = vocabulary.orderBy(*order).limit(max(listed, size)).toArrow()
     words, counts, word_class = top["word"].to_numpy().view(np.uint64), top["count"].to_numpy(), top["class"].to_numpy()
     emission = np.log10((counts - DISCOUNT * (word_class == k)) / total[word_class])
     return {
-        "words": words, "counts": counts, "class": word_class, "transition": transition, "emission": emission, "n": facts["n"], "v": facts["v"], "core": size, "total": total,
+        "words": words, "counts": counts, "class": word_class, "transition": transition, "emission": emission, "n": facts["n"], "v": facts["v"], "core": size, "whole": whole, "total": total,
         "open_tokens": max(float(total[k]), 1.0), "open_words": max(float(kinds[k]), 1.0), "end": int(of[0]),
     }, vocabulary
 
 
-PARTS = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,before:int,times:long>>"
-_RARE = pa.list_(pa.struct([("word", pa.int64()), ("before", pa.int32()), ("times", pa.int64())]))
+PARTS = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,class:int,prev:long,before:int,times:long>>"
+_FIELDS = [("word", pa.int64()), ("class", pa.int32()), ("prev", pa.int64()), ("before", pa.int32()), ("times", pa.int64())]
+_RARE = pa.list_(pa.struct(_FIELDS))
 
 
 def _parts(shared):
@@ -291,27 +373,31 @@ def _parts(shared):
         emission = np.append(m["emission"], 0.0)
         outside = m["transition"].shape[0] - 1
         word_class = np.append(m["class"], outside)
-        before_class = np.where(np.arange(listed + 1) < m["core"], word_class, outside)
+        # -1: a word whose class isn't at hand
+        before_class = np.append(m["class"], -1) if m["whole"] else np.where(np.arange(listed + 1) < m["core"], word_class, outside)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 words, at = tokens(batch.column(1)[a : a + 1000].to_pylist())
                 rank = symbols.rank(words)
-                before = np.concatenate((rank[:1], rank[:-1]))
-                before = before_class[before]
+                before = before_class[np.concatenate((rank[:1], rank[:-1]))]
                 before[at[:-1]] = m["end"]
                 sums = lambda x, at=at: np.add.reduceat(x, at[:-1])
-                known = rank < listed
-                steps = sums(np.where(known, m["transition"][before, word_class[rank]] + emission[rank], 0.0))
-                # the tokens that aren't listed: each text's, by what stands before them, with their counts
-                other = np.flatnonzero(~known)
+                known, led = rank < listed, before >= 0
+                steps = sums(np.where(known & led, m["transition"][before, word_class[rank]], 0.0) + np.where(known, emission[rank], 0.0))
+                # steps of two words that aren't both at hand: each text's, with their counts
+                other = np.flatnonzero(~(known & led))
                 text_of = np.searchsorted(at, other, "right") - 1
-                order = np.lexsort((before[other], words[other], text_of))
-                word, context, text_of = words[other][order], before[other][order].astype(np.int32), text_of[order]
-                new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (text_of[1:] != text_of[:-1]) | (context[1:] != context[:-1])))) if len(word) else np.zeros(0, np.int64)
+                # what is at hand is known by its class, all else by its hash
+                parts = [np.where(known[other], 0, signed(words[other])), np.where(known[other], word_class[rank[other]], -1), np.where(led[other], 0, signed(words[other - 1])), before[other]]
+                order = np.lexsort((*parts, text_of))
+                *parts, text_of = (part[order] for part in (*parts, text_of))
+                new = np.flatnonzero(np.concatenate(([True], np.any([part[1:] != part[:-1] for part in (*parts, text_of)], axis=0)))) if len(order) else np.zeros(0, np.int64)
                 n = len(at) - 1
                 offsets = np.searchsorted(text_of[new], np.arange(n + 1)).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(signed(word[new])), pa.array(context[new]), pa.array(np.diff(np.append(new, len(word))))], ["word", "before", "times"]))
+                word, of, prev, lead = (part[new] for part in parts)
+                fields = [(word, of >= 0), (of, of < 0), (prev, lead >= 0), (lead, lead < 0), (np.diff(np.append(new, len(order))), None)]
+                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x, kind, mask=gone) for (x, gone), (_, kind) in zip(fields, _FIELDS, strict=True)], [name for name, _ in _FIELDS]))
                 columns = [np.arange(row, row + n), batch.column(0)[a : a + 1000], np.diff(at), sums(known.astype(np.int64)), sums(base[rank]), steps, rare]
                 row += n
                 kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [_RARE]
@@ -337,14 +423,21 @@ def score(docs: DataFrame, **sizes: int) -> DataFrame:
     k = len(model["total"]) - 1
     pairs = [(b, c, float(model["transition"][b, c]), float(max(model["total"][c], 1.0))) for b in range(k + 1) for c in range(k + 1)]
     steps = F.broadcast(spark.createDataFrame(pa.table(dict(zip(("before", "class", "step", "total"), ([*x] for x in zip(*pairs, strict=True)), strict=True)))).select(F.col("before").cast("int"), F.col("class").cast("int"), "step", "total"))
-    rare = parts.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.before", "x.times").join(vocabulary, "word", "left")
-    rare = rare.withColumn("class", F.coalesce("class", F.lit(k))).join(steps, ["before", "class"])
+    rare = parts.select("row", F.explode("rare").alias("x")).select("row", "x.*")
+    none = F.lit(None).cast("long").alias("count")
+    lost = rare.where("word is not null").drop("class").join(vocabulary, "word", "left").select("row", "word", F.coalesce("class", F.lit(k)).alias("class"), "prev", "before", "times", "count")
+    rare = lost.unionByName(rare.where("word is null").select("row", "word", "class", "prev", "before", "times", none)) if model["whole"] else lost
+    if model["whole"]:
+        led = vocabulary.select(F.col("word").alias("prev"), F.col("class").alias("led"))
+        rare = rare.where("prev is null").unionByName(rare.where("prev is not null").join(led, "prev", "left").withColumn("before", F.coalesce("led", F.lit(k))).select(*rare.columns))
+    rare = rare.join(steps, ["before", "class"])
     count, times = F.coalesce("count", F.lit(0)), F.col("times")
     open_tokens, open_words = model["open_tokens"], model["open_words"]
     unseen = F.lit(float(np.log10(DISCOUNT * open_words / open_tokens / (v + 1))))
-    emission = F.when(count == 0, unseen).when(F.col("class") == k, F.log10((count - DISCOUNT) / open_tokens)).otherwise(F.log10(count / F.col("total")))
+    new = F.col("word").isNotNull()  # else only the step is still to be added
+    emission = F.when(~new, 0.0).when(count == 0, unseen).when(F.col("class") == k, F.log10((count - DISCOUNT) / open_tokens)).otherwise(F.log10(count / F.col("total")))
     rare = rare.groupBy("row").agg(
-        F.sum(F.when(count > 0, times).otherwise(0)).alias("known"), F.sum(times * F.log10((count + 1) / F.lit(float(n + v + 1)))).alias("base"), F.sum(times * (F.col("step") + emission)).alias("model")
+        F.sum(F.when(count > 0, times).otherwise(0)).alias("known"), F.sum(F.when(new, times * F.log10((count + 1) / F.lit(float(n + v + 1)))).otherwise(0.0)).alias("base"), F.sum(times * (F.col("step") + emission)).alias("model")
     )
     out = parts.drop("rare").join(rare, "row", "left")
     return out.select(
@@ -354,7 +447,7 @@ def score(docs: DataFrame, **sizes: int) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir))
+    return score(documents(spark, sf_dir), whole=True)
 
 
 def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
