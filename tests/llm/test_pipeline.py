@@ -50,6 +50,36 @@ def test_pipeline_runs_whole(spark):
     assert out.count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_workers_give_memory_back():
+    code = """
+import re, sys
+import pandas, pyarrow as pa, pyspark.worker, public_tokenizers
+from tidewarden.llm import jaccard_join, line_dedup, packing
+
+def mb():
+    return sum(map(int, re.findall(r"\\n(?:Anonymous):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches(seed, n=6):
+    for k in range(n):
+        yield pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["\\n".join(" ".join(f"w{(seed + k * 1009 + i * 31 + j * j) % 90001}" for j in range(400)) for _ in range(2)) for i in range(1000)])], names=["doc_id", "text"])
+
+def run(function, seed, n=6):
+    for out in function(batches(seed, n)):
+        out = None
+
+run(jaccard_join._meta, 0, 1); run(line_dedup._occurrences, 0, 1)
+first = mb()
+packing.encoder_of(public_tokenizers.path("byte_bpe_50k.json")).encode([f"word{i} x{i}" for i in range(200_000)])
+held = mb()
+run(jaccard_join._meta, 7)
+run(line_dedup._occurrences, 9)
+print(first, held, mb())
+"""
+    first, held, after = map(float, subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True).stdout.split())
+    assert held > first + 60  # the tokenizer and its words, which no other stage uses
+    assert after < first + 48
+
+
 def test_entry_point_without_the_corpus_operators(tmp_path):
     import os
     import shutil

@@ -6,12 +6,15 @@ driver can read them after any executor is lost.
 
 from __future__ import annotations
 
+import ctypes
+import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +108,60 @@ def doc_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+#: What a Python worker holds from task to task, until a task comes that has no use for it; see ``lean``.
+kept: dict[str, object] = {}
+#: Bytes that a worker may have grown by after a task before it gives back what is free.
+SPARE = 32 << 20
+_after = 0
+
+
+def _resident() -> int:
+    """Bytes of this process in memory; 0 where the system doesn't tell."""
+    try:
+        with open("/proc/self/statm", "rb") as file:
+            return int(file.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    except OSError:
+        return 0
+
+
+def _release() -> None:
+    """Give free memory of Arrow's pool and the C library back to the system."""
+    global _after
+    pa.default_memory_pool().release_unused()
+    if _resident() and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+    _after = _resident()
+
+
+def _begin(keep: bool) -> None:
+    if kept and not keep:
+        kept.clear()
+        _release()
+
+
+def _end() -> None:
+    if _resident() > _after + SPARE:
+        _release()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow map after which its worker is no larger than it has to be.
+
+    Spark keeps idle workers beside the executor's JVM, and memory that a task has freed stays with
+    the worker unless it is given back. keep: the tasks use what is in ``kept``; others drop it.
+    """
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(keep)  # functions of the module: a pickled copy of this one would have globals of its own
+        try:
+            yield from run(batches)
+        finally:
+            _end()
+
+    return whole
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the well-known murmur3 constants)."""
     h = h ^ (h >> np.uint64(33))
@@ -229,6 +286,7 @@ def signed(a: np.ndarray) -> np.ndarray:
 LOCAL_EDGES = 500_000
 
 
+@lean
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over one task's edges: each node with the smallest node of its local component."""
     root: dict[int, int] = {}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_text, documents, unused
+from .common import doc_text, documents, lean, unused
 
 Q = 8
 WINDOW = 96
@@ -196,6 +196,7 @@ class Index:
 
 
 def _scan(shared, schema: pa.Schema, fields: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):

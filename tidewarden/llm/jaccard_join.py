@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import keyjoin
-from .common import LOWER_SQL, distinct, doc_text, documents, mix, parts, shingle_sets, signed, sketch, small, written
+from .common import LOWER_SQL, distinct, doc_text, documents, lean, mix, parts, shingle_sets, signed, sketch, small, written
 
 WORDS = 5
 PERCENT = 75
@@ -81,6 +81,7 @@ def block_keys(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+@lean
 def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     once: dict[int, np.ndarray] = {}
     seen = 0
@@ -114,6 +115,7 @@ def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2 + [pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([None], pa.list_(pa.int64())), pa.array([repeats()], pa.binary())], schema=META_ARROW)
 
 
+@lean
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column(0).to_pylist():
@@ -129,6 +131,7 @@ def frequent_members(meta: DataFrame) -> np.ndarray:
 
 
 def _keyed(shared, buckets: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
 
@@ -144,6 +147,7 @@ def _keyed(shared, buckets: int):
     return run
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 500):

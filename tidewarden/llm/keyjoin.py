@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, mix, parts, written
+from .common import connected_components, lean, mix, parts, written
 
 HOT = 64
 FLUSH = 400_000
@@ -93,6 +93,7 @@ def pack_stream(pairs: Iterator[tuple[np.ndarray, int]], buckets: int, salt: int
         yield out()
 
 
+@lean
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
     marked: list[np.ndarray] = []

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import keyjoin
-from .common import distinct, doc_text, documents, mix, parts, sketch, small, unused, written
+from .common import distinct, doc_text, documents, lean, mix, parts, sketch, small, unused, written
 
 #: Characters of a shingle; see shingles.
 SHINGLE = 8
@@ -104,6 +104,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+@lean
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
@@ -129,6 +130,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(buckets: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, bytes] = {}
         salt = TaskContext.get().partitionId() + 1
@@ -152,6 +154,7 @@ def _keyed(buckets: int):
     return run
 
 
+@lean
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: list[tuple[int, bytes]] = []
@@ -168,6 +171,7 @@ def members(line: bytes) -> np.ndarray:
     return distinct(shingles(line, np.zeros(1, np.int64))[0])
 
 
+@lean
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose lines' shingle sets have the similarity asked for."""
     for batch in batches:
@@ -192,6 +196,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
+@lean
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [members(x) for x in batch.column(1).to_pylist()]
@@ -255,6 +260,7 @@ def _removed(schema: pa.Schema, text: int, length: int | None):
         n = len(drop)
         return (b"\n".join([x for i, x in enumerate(lines) if i not in drop]) if n else data), n
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone, nodes = batch.columns[-2:]

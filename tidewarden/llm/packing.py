@@ -25,6 +25,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_text, documents, small, written
+from .common import doc_text, documents, kept, lean, small, written
 
 WINDOW = 2048
 END = 1
@@ -162,14 +163,15 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+#: The Arrow maps of this operator leave the encoder to one another.
+_map = partial(lean, keep=True)
 
 
 def encoder_of(path: str) -> Encoder:
-    """One for each worker process, so that its words last for all its tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One for each worker process, so that its words last for all its tasks of this operator."""
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def _checksums(ids: np.ndarray, window: int) -> bytes:
@@ -179,6 +181,7 @@ def _checksums(ids: np.ndarray, window: int) -> bytes:
 
 
 def _tokens(path: str, window: int):
+    @_map
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, chunk, row, fulls = encoder_of(path), TaskContext.get().partitionId(), 0, 0
         seen = np.zeros(window, np.int64)
@@ -307,6 +310,7 @@ def _as_pieces(docs: pa.Array, columns: list[np.ndarray]) -> pa.RecordBatch:
 def _pieces(shared):
     """All pieces but those of remainders that a window border cuts."""
 
+    @_map
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         window = p["window"]
@@ -328,6 +332,7 @@ def _pieces(shared):
 
 
 def _cuts(shared):
+    @_map
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
@@ -342,6 +347,7 @@ def _cuts(shared):
 def _halves(shared, kind: str):
     """The two pieces of each cut remainder."""
 
+    @_map
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         window = p["window"]

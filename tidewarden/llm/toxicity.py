@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_text, documents, unused, written
+from .common import doc_text, documents, lean, unused, written
 
 #: The most labelled rows that are used for learning.
 TRAIN_ROWS = 24_000
@@ -160,6 +160,7 @@ def probability(x: np.ndarray, model: Model) -> np.ndarray:
     return np.clip(0.97 * np.interp(raw, model.knots, model.levels) + 0.03 * sigmoid(raw), 0, 1)
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
@@ -176,6 +177,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(shared):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
@@ -186,6 +188,7 @@ def _features(shared):
 
 
 def _score(shared):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
@@ -243,6 +246,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _append(shared, schema: pa.Schema, fields: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
